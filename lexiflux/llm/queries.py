@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexiflux.llm import fingerprints, mixing, quality, tokencount, toxicity
+from lexiflux.llm import fingerprints, mixing, neardup, quality, tokencount, toxicity
 from lexiflux.llm.common import fold, table
 
 
@@ -26,12 +26,16 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold(4) == 2)
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.in_order(mixing.mix(table(spark, sf_dir, "documents")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_quality, op4_fingerprints, op7_toxicity, op9_mixing)}
+    return {f.__name__: f for f in (op1_token_counts, op2_quality, op4_fingerprints, op7_toxicity, op8_near_duplicates, op9_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
