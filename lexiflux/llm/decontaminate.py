@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from lexiflux.llm.common import ship, texts
 
 #: Edits of words allowed for each word of an item, rounded down.
-BUDGET = 0.15
+BUDGET = 0.2
 #: Characters of items in one block; a longer benchmark takes several passes over the texts.
 BLOCK_CHARS = 16_000_000
 _WORD = re.compile(r"\w+")
@@ -161,3 +161,19 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, budget: float = BUD
         part = texts(documents).mapInArrow(run, schema)
         out = part if out is None else out.unionByName(part)
     return spark.createDataFrame([], schema) if out is None else out
+
+
+def clean(documents: DataFrame, benchmark: DataFrame, budget: float = BUDGET) -> DataFrame:
+    """The rows of documents, with all their columns, that hold no item's passage; nothing is shuffled."""
+    ship(documents.sparkSession)
+    place = documents.columns.index("text")
+    for items in _blocks(benchmark):
+        sent = documents.sparkSession.sparkContext.broadcast(items)
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            block = Block(sent.value, budget)
+            for b in batches:
+                yield b.filter(pa.array([not block.matches(t.as_py() or "") for t in b.column(place)], pa.bool_()))
+
+        documents = documents.mapInArrow(run, documents.schema)
+    return documents

@@ -7,8 +7,8 @@ dart of a coordinate is its signature value. A text whose first throw leaves a c
 
 Nodes that share a band meet in a bucket, but no pairs are made of a bucket: each node is held against a few leaders of
 its buckets, by the exact weighted Jaccard similarity. Links form components. Only where a bucket still holds more than
-one component are the nodes of different components compared with one another, so that no link between components is
-lost and the comparisons within a component, however large, stay linear.
+one component are its nodes compared block by block, so that no link between components is lost; there too only links
+that join components come out, never pairs.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ BANDS, ROWS = 32, 5
 CHUNK = 1_000_000
 #: A group of exact copies is hot from this share of all rows on, so at most 5,000 of them are.
 HOT = 1 / 5000
+#: Nodes of a crowded bucket that are compared with one another at once, twice over.
+BLOCK = 256
 _STEP = np.uint64(0xD1B54A32D192ED03)
 
 
@@ -105,7 +107,7 @@ def band_keys(signature: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np
 
 
 def signed(documents: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, node (digest of the text's words), keys (of its bands; none for a text without words) for each row."""
+    """doc_id, hash (of the text), node (digest of its words), keys (of its bands; none for a text without words) for each row."""
     ship(documents.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,9 +120,10 @@ def signed(documents: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFr
             keys = band_keys(signatures(sets, bands * rows), bands, rows)
             full = np.array([len(s[0]) > 0 for s in sets], bool)
             ends = np.concatenate([[0], np.cumsum(full * bands)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nodes, pa.binary()), pa.ListArray.from_arrays(ends, pa.array(keys[full].ravel()))], ["doc_id", "node", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(nodes, pa.binary()), pa.ListArray.from_arrays(ends, pa.array(keys[full].ravel()))], ["doc_id", "hash", "node", "keys"])
 
-    return texts(documents).mapInArrow(run, f"doc_id {dict(documents.dtypes)['doc_id']}, node binary, keys array<long>")
+    hashed = texts(documents).withColumn("hash", F.xxhash64("text"))
+    return hashed.mapInArrow(run, f"doc_id {dict(documents.dtypes)['doc_id']}, hash long, node binary, keys array<long>")
 
 
 def _verified(pairs: DataFrame, of: DataFrame, least: float) -> DataFrame:
@@ -197,14 +200,8 @@ def _texts_of(documents: DataFrame, nodes: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "node binary, text string").dropDuplicates(["node"])
 
 
-def near_duplicates(documents: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, class_id, n_texts, n_rows for each row of documents.
-
-    class_id is the smallest doc_id of the class: rows that links of a weighted similarity of at least `least` on
-    shingles of five words join, through any number of steps. n_texts counts the class's different texts (as sequences
-    of words), n_rows its rows. Null and empty texts, and all others without words, are one class. Repeated rows are in
-    the same class. Null ids come after all others: a class of null ids alone has a null class_id.
-    """
+def _classes(documents: DataFrame, least: float, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, hash, node) and nodes (node, n, root, class_id, n_texts, n_rows), both durable."""
     rows_ = durable(signed(documents, bands, rows))
     nodes = durable(rows_.groupBy("node").agg(F.min("doc_id").alias("doc"), F.count(F.lit(1)).alias("n"), F.first("keys").alias("keys")))
     roots = _roots(nodes, documents, least)
@@ -214,11 +211,36 @@ def near_duplicates(documents: DataFrame, least: float = SIMILARITY, bands: int
     else:
         classes = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     by_root = classes.groupBy("root").agg(F.min("doc").alias("class_id"), F.count(F.lit(1)).alias("n_texts"), F.sum("n").alias("n_rows"))
-    classes = durable(classes.join(by_root, "root").select("node", "n", "class_id", "n_texts", "n_rows"))
-    total = rows_.count()
-    hot = F.col("n") >= max(1000, int(total * HOT))
-    own = rows_.select("doc_id", "node")
+    return rows_.select("doc_id", "hash", "node"), durable(classes.join(by_root, "root"))
+
+
+def near_duplicates(documents: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """doc_id, class_id, n_texts, n_rows for each row of documents.
+
+    class_id is the smallest doc_id of the class: rows that links of a weighted similarity of at least `least` on
+    shingles of five words join, through any number of steps. n_texts counts the class's different texts (as sequences
+    of words), n_rows its rows. Null and empty texts, and all others without words, are one class. Repeated rows are in
+    the same class. Null ids come after all others: a class of null ids alone has a null class_id.
+    """
+    own, classes = _classes(documents, least, bands, rows)
+    hot = F.col("n") >= max(1000, int(own.count() * HOT))
+    found = classes.select("node", "n", "class_id", "n_texts", "n_rows")
     # at most 1 / HOT groups are hot; their rows are met where they are
-    heavy = F.broadcast(classes.where(hot).drop("n"))
-    out = own.join(heavy, "node").unionByName(own.join(heavy.select("node"), "node", "left_anti").join(classes.where(~hot).drop("n"), "node"))
+    heavy = F.broadcast(found.where(hot).drop("n"))
+    out = own.join(heavy, "node").unionByName(own.join(heavy.select("node"), "node", "left_anti").join(found.where(~hot).drop("n"), "node"))
     return out.select("doc_id", "class_id", "n_texts", "n_rows")
+
+
+def representatives(documents: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """One row of each class, with all its columns: that of the smallest id (null ids last; of equal ids the smallest hash of text)."""
+    own, classes = _classes(documents, least, bands, rows)
+    # a node's first row, then the class's: both are least values, summed in tasks first
+    first = own.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "hash")).alias("row"))
+    first = first.join(classes.select("node", "root"), "node").groupBy("root").agg(F.min("row").alias("row"))
+    first = durable(first.select(F.col("row.doc_id").alias("__lexiflux_id"), F.col("row.hash").alias("__lexiflux_hash")))
+    rows_ = documents.withColumn("__lexiflux_text", F.xxhash64(F.coalesce("text", F.lit(""))))
+    same = rows_["doc_id"].eqNullSafe(first["__lexiflux_id"]) & (rows_["__lexiflux_text"] == first["__lexiflux_hash"])
+    kept = rows_.join(first, same, "left_semi")
+    if not own.groupBy("doc_id", "hash").count().where("count > 1").isEmpty():  # rows repeat, so one of each is taken
+        kept = kept.dropDuplicates(["doc_id", "__lexiflux_text"])
+    return kept.drop("__lexiflux_text")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiflux.llm import decontaminate, fingerprints, mixing, neardup, quality, quotes, substrings, tokencount, toxicity
+from lexiflux.llm import decontaminate, fingerprints, lm, mixing, neardup, quality, quotes, substrings, tokencount, toxicity
 from lexiflux.llm.common import fold, table
 
 
@@ -33,6 +33,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.lm_scores(table(spark, sf_dir, "documents"), fold(7) == 2)
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold(4) == 2)
 
@@ -50,7 +54,7 @@ def op10_chat_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_quality, op3_substring_dedup, op4_fingerprints, op5_decontamination, op7_toxicity, op8_near_duplicates, op9_mixing, op10_chat_quotes)}
+    return {f.__name__: f for f in (op1_token_counts, op2_quality, op3_substring_dedup, op4_fingerprints, op5_decontamination, op6_lm_scoring, op7_toxicity, op8_near_duplicates, op9_mixing, op10_chat_quotes)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -79,24 +79,50 @@ def dedup_units(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             left, n, gone, spans = [], [], [], []
             for t, own in zip(b.column(1), b.column(2), strict=True):
                 t, own = t.as_py(), set(own.as_py() or ())
-                cut = units(t)
-                kept, out = [], []
-                for s, e in cut:
-                    d = digest(t[s:e], min_words)
-                    if d is None or d[0] in own:
-                        own.discard(d and d[0])
-                        kept.append(t[s:e])
-                    else:
-                        out.append({"start": s, "end": e})
-                left.append("".join(kept))
-                n.append(len(cut))
+                kept, out = _sift(t, own, min_words)
+                left.append("".join(t[s:e] for s, e in kept))
+                n.append(len(kept) + len(out))
                 gone.append(len(out))
-                spans.append(out)
+                spans.append([{"start": s, "end": e} for s, e in out])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(left, pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.list_(span))], ["doc_id", "text", "n_units", "n_removed", "removed"])
 
     return rows.mapInArrow(run, f"doc_id {kind}, text string, n_units long, n_removed long, removed array<struct<start: long, end: long>>")
 
 
+def _sift(text: str, own: set[int], min_words: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """Spans of a text that stay and spans that go, given what its document owns; own loses what is met."""
+    kept, gone = [], []
+    for s, e in units(text):
+        d = digest(text[s:e], min_words)
+        if d is None or d[0] in own:
+            own.discard(d and d[0])
+            kept.append((s, e))
+        else:
+            gone.append((s, e))
+    return kept, gone
+
+
+def clean(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """The rows of documents, with all their columns, after removal; n_chars, where it is a column, is that of the text left."""
+    ship(documents.sparkSession)
+    owners = _owners(documents, min_words).select(F.col("owner").alias("__lexiflux_owner"), F.col("own").alias("__lexiflux_own"))
+    rows = documents.join(owners, documents["doc_id"].eqNullSafe(owners["__lexiflux_owner"]), "left").drop("__lexiflux_owner")
+    place, last = documents.columns.index("text"), len(documents.columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for t, own in zip(b.column(place), b.column(last), strict=True):
+                t = t.as_py()
+                out.append(None if t is None else "".join(t[s:e] for s, e in _sift(t, set(own.as_py() or ()), min_words)[0]))
+            columns = [pa.array(out, pa.string()) if i == place else b.column(i) for i in range(last)]
+            yield pa.RecordBatch.from_arrays(columns, documents_columns)
+
+    documents_columns = documents.columns
+    out = rows.mapInArrow(run, documents.schema)
+    return out.withColumn("n_chars", F.length("text").cast(dict(documents.dtypes)["n_chars"])) if "n_chars" in documents.columns else out
+
+
 ORACLE = r"""
 WITH cut AS (
   SELECT doc_id, unnest(string_split(regexp_replace(coalesce(text, ''), '([.!?][ \t]+|\n)', '\1' || chr(1), 'g'), chr(1))) AS unit,

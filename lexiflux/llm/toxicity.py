@@ -186,3 +186,18 @@ def toxicity(documents: DataFrame, labels: DataFrame, held_out: Column, threshol
     ship(documents.sparkSession)
     scored = score(documents, train(documents, labels, held_out)).withColumn("held_out", held_out)
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def reject(documents: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of documents, with all their columns, whose text scores below the threshold; nothing is shuffled."""
+    ship(documents.sparkSession)
+    sent = documents.sparkSession.sparkContext.broadcast(model)
+    place = documents.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, cache = sent.value, {}
+        for b in batches:
+            z = np.array([model.logit(set(_WORD.findall((t.as_py() or "").lower())), cache) for t in b.column(place)], float)
+            yield b.filter(pa.array(1 / (1 + np.exp(-np.clip(z, -700, 700))) < threshold))
+
+    return documents.mapInArrow(run, documents.schema)
