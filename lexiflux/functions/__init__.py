@@ -1 +1 @@
-"""."""
+"""Column functions: text normalisation, tokens, counts, ratios, HTML."""

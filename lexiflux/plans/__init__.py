@@ -1 +1 @@
-"""."""
+"""Plans shared by operators, and the catalogue of queries with their SQL."""

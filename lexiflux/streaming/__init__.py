@@ -1 +1 @@
-"""."""
+"""Scoring of documents as they arrive."""
