@@ -17,6 +17,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -177,16 +178,66 @@ def _roots(nodes: DataFrame, documents: DataFrame, least: float) -> DataFrame |
     roots = None if links.isEmpty() else components(links)
     root = F.coalesce("root", "node")
     placed = shared.join(roots, "node", "left").select("key", "node", root.alias("root")) if roots is not None else shared.select("key", "node", F.col("node").alias("root"))
-    open_keys = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    rest = durable(placed.join(durable(open_keys), "key"))
-    x, y = rest.select("key", F.col("node").alias("a"), F.col("root").alias("ra")), rest.select("key", F.col("node").alias("b"), F.col("root").alias("rb"))
-    more = x.join(y, "key").where("a < b AND ra <> rb").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
-    found = durable(_verified(more, of, least))
+    # among up to three nodes, leaders have met them all
+    open_keys = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("set")).where("lo <> hi AND n > 3")
+    # bands with the same nodes are looked at once
+    open_keys = durable(open_keys.groupBy("set", "n").agg(F.min("key").alias("key")).select("key", "n"))
+    if open_keys.isEmpty():
+        return roots
+    found = durable(_within(placed.join(open_keys, "key"), of, least))
     if found.isEmpty():
         return roots
     return components(links.unionByName(found))
 
 
+def _within(members: DataFrame, of: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) that join different components of a bucket. members: key, n (of the bucket), node, root; of: node, text.
+
+    A bucket is cut into blocks of about BLOCK nodes, and every two of its blocks are compared by matrix products in a
+    task of their own; only links that join what was apart come out, fewer than the nodes of the two blocks.
+    """
+    n_blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    rows = members.withColumn("block", F.pmod(F.xxhash64("node"), n_blocks).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
+    rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "root").join(of, "node")
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        nodes, group = list(pdf.node), list(pdf.root)
+        sets = [weigh(word_hashes(t)) for t in pdf.text]
+        # unit cells of weight, so that the smaller weights' sum is the number of common cells
+        cells = [np.repeat(ids, n) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)).astype(np.uint64) * _STEP for ids, n in sets]
+        size = np.array([len(c) for c in cells], float)
+        row = np.repeat(np.arange(len(cells)), size.astype(int))
+        _, column, times = np.unique(np.concatenate(cells), return_inverse=True, return_counts=True)
+        shared = times[column] > 1
+        row, column = row[shared], (np.cumsum(times > 1) - 1)[column[shared]]
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        common, width = np.zeros((len(cells), len(cells)), np.float32), 4096
+        for first in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+            a, b = np.searchsorted(column, [first, first + width])
+            part = np.zeros((len(cells), width), np.float32)
+            part[row[a:b], column[a:b] - first] = 1
+            common += part @ part.T
+        i, j = np.nonzero(np.triu(common >= least * (size[:, None] + size[None, :] - common) - 1e-3, 1))
+        top = {g: g for g in group}
+
+        def find(g: bytes) -> bytes:
+            while top[g] != g:
+                g = top[g]
+            return g
+
+        links = []
+        for x, y in zip(i.tolist(), j.tolist(), strict=True):
+            g, h = find(group[x]), find(group[y])
+            if g != h and similarity(sets[x], sets[y]) >= least:
+                top[max(g, h)] = min(g, h)
+                links.append((nodes[x], nodes[y]))
+        return pd.DataFrame(links, columns=["a", "b"])
+
+    return rows.groupBy("key", "i", "j").applyInPandas(compare, "a binary, b binary")
+
+
 def _texts_of(documents: DataFrame, nodes: DataFrame) -> DataFrame:
     """node, text for each of nodes (node, doc): the text of a row with that id whose words are the node's."""
 
