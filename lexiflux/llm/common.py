@@ -2,52 +2,23 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexiflux.plans.cluster import durable, shared_dir, ship
+
+__all__ = ["WORD", "durable", "fold", "one_label", "ship", "shared_dir", "stored", "table", "texts"]
+
 #: One word: code points other than space and the ASCII controls tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
-_SHIPPED = "spark.lexiflux.shipped"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors once per context, so that workers can import it from any directory."""
-    sc = spark.sparkContext
-    if sc.getLocalProperty(_SHIPPED):
-        return
-    package = Path(__file__).resolve().parent.parent
-    out = Path(tempfile.mkdtemp(prefix="lexiflux-")) / "lexiflux_code.zip"
-    with zipfile.ZipFile(out, "w") as z:
-        for p in sorted(package.rglob("*.py")):
-            z.write(p, p.relative_to(package.parent))
-    sc.addPyFile(str(out))
-    sc.setLocalProperty(_SHIPPED, "1")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder that the cluster names; a temporary one only where none is set, as in tests."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or os.path.join(tempfile.gettempdir(), "checkpoints", "lexiflux"))
-    return sc.getCheckpointDir()
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """Cuts lineage with a reliable checkpoint."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def stored(df: DataFrame) -> DataFrame:
     """Cuts lineage with a compressed table in the checkpoint folder: for what is large or read by column."""
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
