@@ -28,7 +28,7 @@ from lexiflux.llm.common import ship, stored, texts
 #: Symbols in all, of which so many are classes of rarer words; a word's class is the CRC of its first bytes.
 SYMBOLS, CLASSES, CLASS_BYTES = 2048, 128, 3
 HEAD = 200_000
-DIMENSION, NOISE, BATCH, RATE = 24, 128, 4096, 0.15
+DIMENSION, NOISE, BATCH, RATE = 24, 128, 1024, 0.2
 #: One training position in so many, in every text, at a phase that the text sets.
 STRIDE = 2
 #: Distinct words that a task counts before it passes them on.
@@ -137,7 +137,7 @@ class LogBilinear:
         """The unigram model, with small vectors that are the same everywhere."""
         rng = np.random.default_rng(0)
         n = len(unigram)
-        return cls(*(rng.normal(0, 0.3, (n, dimension)) for _ in range(3)), np.log(unigram))
+        return cls(*(rng.normal(0, 0.1, (n, dimension)) for _ in range(3)), np.log(unigram))
 
     def train(self, c2: np.ndarray, c1: np.ndarray, target: np.ndarray, noise: np.ndarray, rng: np.random.Generator, grown: list[np.ndarray], rate: float = RATE) -> None:
         """One step of noise-contrastive estimation with AdaGrad. c1 stands before the target, c2 before c1; the batch shares its noise."""
