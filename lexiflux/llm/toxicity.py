@@ -35,6 +35,8 @@ IDENTITY_SETS = (
 #: At most so many labelled rows of each class are learnt from, those with the smallest hash of their id.
 MAX_ROWS = 4000
 MAX_FEATURES = 6000
+#: Least gain in log-likelihood of a feature that is used: less may be chance.
+MIN_GAIN = 3.0
 STEMS = (4, 5, 6, 7)
 THRESHOLD = 0.3
 _WORD = re.compile(r"\w+")
@@ -91,7 +93,7 @@ class Index:
 def fit(rows: list[tuple[np.ndarray, int]], swaps: list[tuple[np.ndarray, np.ndarray]], names: list[str], prior: float, l2: float = 1e-4, fairness: float = 0.2, steps: int = 400) -> Model:
     """Full-batch training with momentum. rows: feature numbers and label; swaps: pairs whose scores should agree.
 
-    The features with the largest log-likelihood ratio are used. prior is the share of label 1 among all labelled rows,
+    The features with the largest log-likelihood ratio are used, if it is large enough. prior is the share of label 1 among all labelled rows,
     of which rows may be a stratified sample: classes are weighed back to it.
     """
     y = np.array([label for _, label in rows], float)
@@ -107,7 +109,7 @@ def fit(rows: list[tuple[np.ndarray, int]], swaps: list[tuple[np.ndarray, np.nda
 
     both = (a + b) / (n1 + n0)
     gain = loglik(a, n1, a / n1) + loglik(b, n0, b / n0) - loglik(a, n1, both) - loglik(b, n0, both)
-    kept = sorted(range(len(common)), key=lambda i: (-gain[i], names[common[i]]))[:MAX_FEATURES]
+    kept = sorted(np.flatnonzero(gain >= MIN_GAIN).tolist(), key=lambda i: (-gain[i], names[common[i]]))[:MAX_FEATURES]
     chosen = common[kept]
     place = np.full(len(names), -1)
     place[chosen] = np.arange(len(chosen))
