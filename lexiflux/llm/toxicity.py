@@ -122,15 +122,25 @@ def fit(rows: list[tuple[np.ndarray, int]], swaps: list[tuple[np.ndarray, np.nda
     (r0, c0), (r1, c1) = sparse([s[0] for s in swaps]), sparse([s[1] for s in swaps])
     prior = min(max(prior, 1e-4), 1 - 1e-4)
     weight = np.where(y == 1, prior / n1, (1 - prior) / n0)
+
+    def unfair(w: np.ndarray) -> np.ndarray:
+        change = np.bincount(r0, w[c0], len(swaps)) - np.bincount(r1, w[c1], len(swaps))
+        return 2 * fairness / len(swaps) * (np.bincount(c0, change[r0], len(w)) - np.bincount(c1, change[r1], len(w)))
+
     w, bias = np.zeros(len(chosen)), float(np.log(prior / (1 - prior)))
-    vw, vb, rate = np.zeros_like(w), 0.0, 0.5
+    # the steepest curvature, by power iteration, bounds the rate at which momentum stays stable
+    v, steepest = np.ones(len(chosen)), 1e-9
+    for _ in range(20 if len(chosen) and len(y) else 0):
+        v = v / max(np.linalg.norm(v), 1e-12)
+        v = 0.25 * np.bincount(c, (weight * np.bincount(r, v[c], len(y)))[r], len(v)) + (unfair(v) if swaps else 0)
+        steepest = max(steepest, float(np.linalg.norm(v)))
+    vw, vb, rate = np.zeros_like(w), 0.0, min(0.5, 1.5 / steepest)
     for _ in range(steps if len(chosen) and 0 < y.sum() < len(y) else 0):
         z = bias + np.bincount(r, w[c], len(y))
         e = weight * (1 / (1 + np.exp(-np.clip(z, -50, 50))) - y)
         g = np.bincount(c, e[r], len(w)) + l2 * w
         if swaps:
-            change = np.bincount(r0, w[c0], len(swaps)) - np.bincount(r1, w[c1], len(swaps))
-            g += 2 * fairness / len(swaps) * (np.bincount(c0, change[r0], len(w)) - np.bincount(c1, change[r1], len(w)))
+            g += unfair(w)
         vw, vb = 0.9 * vw - rate * g, 0.9 * vb - 0.2 * rate * e.sum()
         w, bias = w + vw, bias + vb
     return Model({names[i]: float(x) for i, x in zip(chosen, w, strict=True) if x}, float(bias))
