@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lexiflux.functions import html as H
 from lexiflux.functions import text as X
-from lexiflux.operators import company, kwic, match, overlap, score, sparse
+from lexiflux.operators import company, kwic, match, overlap, scan, score, sparse
 from lexiflux.operators.lexicon import TIERS, Compiled, Term, compile_terms, terms_frame, with_added
 from lexiflux.plans import oracles
 from lexiflux.plans.places import ranked
@@ -186,6 +186,13 @@ def quintile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return company.quintiles(_rollup(spark, sf_dir).where("total_words >= 2000"))
 
 
+def scan_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits of each document by tokens and by scanning, over the terms that are regular expressions."""
+    terms = [t for t in LEXICON if t.syntax == "regex"]
+    scanned = score.counts(overlap.resolve(scan.scanned_spans(documents(spark, sf_dir), terms)))
+    return scan.agreement(counted(spark, sf_dir, terms), scanned)
+
+
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = spark.read.parquet(f"{sf_dir}/pages.parquet")
     return p.select("page_id", H.clean_lines(H.stripped(F.col("html"))).alias("lines"))
@@ -237,7 +244,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         term_density_by_source, doc_stats, token_vocab, raw_term_hits, resolved_term_counts, doc_scores, doc_percentile, tier_pivot, doc_top_terms, company_top_terms,
-        company_board, board_metric_nulls, lookup_rank, resolve_company, find_by_symbol, concordance, wildcard_terms, lookaround_terms, added_word_stats, quintile,
+        company_board, board_metric_nulls, lookup_rank, resolve_company, find_by_symbol, concordance, wildcard_terms, lookaround_terms, added_word_stats, quintile, scan_agreement,
         page_clean_lines, page_dedup_nav, page_min_words, page_parsed, sparse_vectors, unclaimed_words, todo_antijoin, docs_by_kind, lexicon_tiers,
     )
 }

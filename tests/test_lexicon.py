@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexiflux.functions import text as X
-from lexiflux.operators import kwic, match, overlap, sparse
+from lexiflux.operators import kwic, match, overlap, scan, sparse
 from lexiflux.operators.lexicon import PatternError, Term, compile_terms, expand, plain_words, terms_frame, with_added
 
 P = Term
@@ -97,3 +97,14 @@ def test_concordance_and_added(spark):
     [row] = sparse.added_word_stats(raw, overlap.resolve(raw), terms_frame(spark, terms)).collect()
     assert (row["corpus_hits"], row["new_hits"], row["already_counted"]) == (3, 0, 3)
     assert Counter(t.extra for t in terms) == {False: 1, True: 1}
+
+
+def test_scan(spark):
+    terms = [P("a", "puffery", "people(?:,| and)? planet"), P("b", "hedge", "the"), P("c", "hedge", "of the"), P("d", "corporate", "(?<!of )the best")]
+    d = spark.createDataFrame([(0, "people, planet of the best"), (1, "thé the best"), (2, None), (3, "")], "doc_id long, norm string")
+    got = overlap.resolve(scan.scanned_spans(d, terms)).collect()
+    assert sorted((r["doc_id"], r["start"], r["term_id"]) for r in got) == [(0, 0, 0), (0, 15, 2), (1, 4, 3)]
+    with pytest.raises(PatternError):
+        scan.alternations([P("x", "puffery", "(")])
+    many = [P(f"t{i}", "puffery", f"w{i}") for i in range(200)]
+    assert len(scan.alternations(many)) == 3

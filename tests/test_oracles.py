@@ -33,4 +33,4 @@ def test_query(spark, duck, name):
 
 
 def test_every_query_has_sql():
-    assert set(catalogue.QUERIES) - set(catalogue.ORACLES) == {"page_parsed"}
+    assert set(catalogue.QUERIES) - set(catalogue.ORACLES) == {"page_parsed", "scan_agreement"}
