@@ -20,7 +20,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiflux.llm.common import ship, stored, texts
@@ -33,6 +33,8 @@ DIMENSION, NOISE, BATCH, RATE = 24, 128, 1024, 0.2
 STRIDE = 2
 #: Distinct words that a task counts before it passes them on.
 FLUSH = 500_000
+#: Symbols whose parameters travel together, and tasks whose parameters are averaged at once.
+BLOCK, GROUP = 256, 64
 END = 0
 
 
@@ -110,9 +112,16 @@ class Vocabulary:
 
 
 def vocabulary(counts: DataFrame, n_texts: int, head: int = HEAD, symbols: int = SYMBOLS, classes: int = CLASSES) -> Vocabulary:
-    """From a stored table of counts; at most head words and one row per class reach the driver."""
-    rows = counts.orderBy(F.col("c").desc(), "word").limit(head).collect()
-    words, c = [bytes(r["word"]) for r in rows], np.array([r["c"] for r in rows], np.int64)
+    """From a stored table of counts; at most head words and one row per class reach the driver.
+
+    The head are the words over the least count that at most head words exceed: a histogram of counts finds it.
+    """
+    often = counts.groupBy("c").agg(F.count(F.lit(1)).alias("n"))
+    upto = often.withColumn("n", F.sum("n").over(Window.orderBy(F.col("c").desc())))  # one row for each different count
+    least = upto.where(F.col("n") <= head).agg(F.min("c")).first()[0]
+    rows = counts.where(F.col("c") >= least).collect() if least is not None else []
+    rows = sorted((-r["c"], bytes(r["word"])) for r in rows)
+    words, c = [w for _, w in rows], np.array([-k for k, _ in rows], np.int64)
     by = counts.groupBy((F.crc32(F.substring("word", 1, CLASS_BYTES)) % classes).alias("k")).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect()
     n, v = np.zeros(classes, np.int64), np.zeros(classes, np.int64)
     for r in by:
@@ -190,7 +199,7 @@ def _joined(vocab: Vocabulary, ts: list[str]) -> tuple[np.ndarray, np.ndarray, l
 
 
 def train(training: DataFrame, vocab: Vocabulary, dimension: int = DIMENSION, stride: int = STRIDE) -> LogBilinear:
-    """Parameters averaged over tasks, each of which trains on all its texts; one row per symbol reaches the driver."""
+    """Parameters averaged over tasks, each of which trains on all its texts; one row per block of symbols reaches the driver."""
     start = LogBilinear.start(vocab.unigram(), dimension)
     sent = training.sparkSession.sparkContext.broadcast((vocab, start))
 
@@ -213,21 +222,24 @@ def train(training: DataFrame, vocab: Vocabulary, dimension: int = DIMENSION, st
             seen += len(at)
         if seen:
             rows = np.concatenate([model.r1, model.r2, model.q, model.b[:, None]], 1)
-            n, d = rows.shape
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(n), pa.int64()), pa.ListArray.from_arrays(np.arange(0, n * d + 1, d, dtype=np.int32), pa.array(rows.ravel())), pa.array(np.full(n, float(seen)))], ["symbol", "v", "n"])
+            parts = [rows[i : i + BLOCK].ravel() for i in range(0, len(rows), BLOCK)]
+            ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int64()), pa.ListArray.from_arrays(ends, pa.array(rows.ravel())), pa.array([float(seen)] * len(parts))], ["block", "v", "n"])
 
     def average(pdf: pd.DataFrame) -> pd.DataFrame:
         v = np.average(np.stack(pdf.v.to_numpy()), axis=0, weights=pdf.n)
-        return pd.DataFrame({"symbol": pdf.symbol[:1], "v": [v], "n": [pdf.n.sum()]})
-
-    parts = training.select("text").mapInArrow(run, "symbol long, v array<double>, n double")
-    # a symbol has one row from each task; tasks meet in groups first, so that no group grows with the input
-    parts = parts.withColumn("g", F.spark_partition_id() % 64)
-    parts = parts.groupBy("symbol", "g").applyInPandas(average, "symbol long, v array<double>, n double")
-    rows = sorted(parts.groupBy("symbol").applyInPandas(average, "symbol long, v array<double>, n double").collect())
+        return pd.DataFrame({"block": pdf.block[:1], "v": [v], "n": [pdf.n.sum()]})
+
+    parts = training.select("text").mapInArrow(run, "block long, v array<double>, n double")
+    # a block of symbols has one row from each task; tasks meet in groups of GROUP, and these in groups again
+    parts = parts.withColumn("g", F.floor(F.spark_partition_id() / GROUP))
+    parts = parts.groupBy("block", "g").applyInPandas(lambda key, pdf: average(pdf).assign(g=key[1]), "block long, v array<double>, n double, g long")
+    parts = parts.withColumn("g", F.floor(F.col("g") / GROUP)).groupBy("block", "g").applyInPandas(lambda key, pdf: average(pdf), "block long, v array<double>, n double")
+    rows = sorted(parts.groupBy("block").applyInPandas(average, "block long, v array<double>, n double").collect())
     if not rows:
         return start
-    v, d = np.array([r["v"] for r in rows]), dimension
+    d = dimension
+    v = np.concatenate([np.array(r["v"]).reshape(-1, 3 * d + 1) for r in rows])
     return LogBilinear(v[:, :d], v[:, d : 2 * d], v[:, 2 * d : 3 * d], v[:, 3 * d])
 
 
