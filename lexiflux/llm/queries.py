@@ -58,4 +58,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_substring_dedup": substrings.ORACLE, "op9_mixing": mixing.ORACLE}
+    return {"op3_substring_dedup": substrings.ORACLE, "op9_mixing": mixing.ORACLE, "op10_chat_quotes": quotes.ORACLE}

@@ -116,3 +116,24 @@ def render(linked: DataFrame, template: str = "<|{role}|>\n{content}\n") -> Data
     head, rest = template.split("{role}")
     middle, tail = rest.split("{content}")
     return linked.withColumn("chat", F.concat(F.lit(head), F.coalesce("role", F.lit("")), F.lit(middle), "content", F.lit(tail)))
+
+
+ORACLE = r"""
+WITH rows AS (SELECT row_number() OVER () AS id, conv_id, coalesce(CAST(conv_id AS VARCHAR), '') AS conv, turn, role, coalesce(text, '') AS text FROM conversations),
+raw AS (SELECT id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM rows),
+marked AS (SELECT *, regexp_extract(line, '^(?:[ \t]*>)+ ?') AS mark FROM raw),
+lines AS (SELECT id, i, length(mark) - length(replace(mark, '>', '')) AS level, substr(line, length(mark) + 1) AS content FROM marked),
+own AS (SELECT id, trim(coalesce(string_agg(content, chr(10) ORDER BY i) FILTER (level = 0), ''), chr(10)) AS content, max(level) AS depth FROM lines GROUP BY id),
+runs AS (SELECT *, sum(CASE WHEN level = coalesce(before, -1) THEN 0 ELSE 1 END) OVER (PARTITION BY id ORDER BY i) AS run FROM (SELECT *, lag(level) OVER (PARTITION BY id ORDER BY i) AS before FROM lines)),
+passages AS (SELECT id, run, level, string_agg(content, chr(10) ORDER BY i) AS content FROM runs WHERE level > 0 GROUP BY ALL),
+outer_ AS (SELECT * FROM (SELECT *, min(level) OVER (PARTITION BY id) AS top FROM passages) WHERE level = top),
+saying AS (SELECT id, content AS s FROM own UNION ALL SELECT id, unnest(string_split(content, chr(10))) FROM own UNION ALL SELECT id, unnest(string_split(content, chr(10) || chr(10))) FROM own),
+asking AS (SELECT id, content AS s FROM outer_ UNION ALL SELECT id, unnest(string_split(content, chr(10))) FROM outer_),
+said AS (SELECT DISTINCT conv, turn, array_to_string(regexp_extract_all(lower(s), '[\p{L}\p{N}_]+'), ' ') AS k FROM saying JOIN rows USING (id) WHERE turn IS NOT NULL),
+asked AS (SELECT DISTINCT conv, turn, array_to_string(regexp_extract_all(lower(s), '[\p{L}\p{N}_]+'), ' ') AS k FROM asking JOIN rows USING (id)),
+quoted AS (SELECT a.conv, a.turn, max(s.turn) AS parent FROM asked a JOIN said s ON a.conv = s.conv AND a.k = s.k AND s.turn < a.turn WHERE a.k <> '' GROUP BY ALL),
+turns AS (SELECT conv, turn, lag(turn) OVER (PARTITION BY conv ORDER BY turn) AS before FROM (SELECT DISTINCT conv, turn FROM rows WHERE turn IS NOT NULL))
+SELECT r.conv_id, r.turn, r.role, o.content, coalesce(q.parent, t.before) AS parent_turn, q.parent IS NOT NULL AS by_quote,
+  (SELECT count(*) FROM passages p WHERE p.id = r.id) AS n_quotes, o.depth, '<|' || coalesce(r.role, '') || '|>' || chr(10) || o.content || chr(10) AS chat
+FROM rows r JOIN own o USING (id) LEFT JOIN turns t ON t.conv = r.conv AND t.turn = r.turn LEFT JOIN quoted q ON q.conv = r.conv AND q.turn = r.turn
+"""

@@ -160,4 +160,8 @@ def test_quotes(spark):
     assert by[4, None][4] is None and by[None, 1][4] is None
     assert [r[:2] for r in got if r[0] == 1] == [(1, t) for t in (0, 1, 2, 3, 9, 10)]
     assert Q.link_quotes(df.limit(0)).collect() == []
+    c = duckdb.connect()
+    c.sql("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    c.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+    assert sorted(map(tuple, Q.render(Q.link_quotes(df)).collect()), key=repr) == sorted(c.sql(Q.ORACLE).fetchall(), key=repr)
     assert Q.render(Q.link_quotes(df)).where("conv_id = 1 AND turn = 1").first()["chat"] == "<|assistant|>\nFine thanks\n"
