@@ -35,6 +35,8 @@ STRIDE = 2
 FLUSH = 500_000
 #: Symbols whose parameters travel together, and tasks whose parameters are averaged at once.
 BLOCK, GROUP = 256, 64
+#: Texts that are cut into words at once.
+SLICE = 500
 END = 0
 
 
@@ -209,8 +211,8 @@ def train(training: DataFrame, vocab: Vocabulary, dimension: int = DIMENSION, st
         model = LogBilinear(*(x.copy() for x in (start.r1, start.r2, start.q, start.b)))
         noise, grown = vocab.unigram(), [np.zeros_like(x) for x in (model.r1, model.r2, model.q, model.b)]
         rng, seen = np.random.default_rng(1), 0
-        for b in batches:
-            ts = [t.as_py() for t in b.column(0)]
+        for t in (b.column(0).slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
+            ts = t.to_pylist()
             _, symbols, _, ends = _joined(vocab, ts)
             c2, c1 = contexts(symbols, ends)
             phase = np.repeat([zlib.crc32(t[:64].encode("utf-8", "surrogatepass")) for t in ts], np.diff(ends, prepend=-1))
@@ -295,8 +297,8 @@ def lm_scores(documents: DataFrame, held_out: Column, head: int = HEAD, symbols:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, model = sent.value
         for b in batches:
-            for i in range(0, b.num_rows, 1000):
-                part = b.slice(i, 1000)
+            for i in range(0, b.num_rows, SLICE):
+                part = b.slice(i, SLICE)
                 n, known, base, logp, tails = score_texts([t.as_py() for t in part.column(1)], vocab, model)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(logp), pa.array(tails, pa.list_(pa.binary()))], ["doc_id", "held_out", "n_tokens", "known", "base", "part", "tail"])
 
