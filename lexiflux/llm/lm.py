@@ -29,8 +29,8 @@ from lexiflux.llm.common import ship, stored, texts
 SYMBOLS, CLASSES, CLASS_BYTES = 2048, 128, 3
 HEAD = 200_000
 DIMENSION, NOISE, BATCH, RATE = 24, 128, 1024, 0.2
-#: One training position in so many, in every text, at a phase that the text sets.
-STRIDE = 2
+#: One training position in so many, in every text, at a phase that the text sets; 1 is every position.
+STRIDE = 1
 #: Distinct words that a task counts before it passes them on.
 FLUSH = 500_000
 #: Symbols whose parameters travel together, and tasks whose parameters are averaged at once.
@@ -157,17 +157,38 @@ class LogBilinear:
         h = self.r1[c1] + self.r2[c2]
         qt, qs, log_noise = self.q[target], self.q[sampled], np.log(NOISE * noise)
         up = 1 / (1 + np.exp(np.clip((h * qt).sum(1) + self.b[target] - log_noise[target], -30, 30)))  # 1 - P(data)
-        down = 1 / (1 + np.exp(-np.clip(h @ qs.T + self.b[sampled] - log_noise[sampled], -30, 30)))  # P(data) of noise
+        down = h @ qs.T  # P(data) of noise, in place: the largest array of a step
+        down += self.b[sampled]
+        down -= log_noise[sampled]
+        np.negative(np.clip(down, -30, 30, out=down), out=down)
+        np.exp(down, out=down)
+        down += 1
+        np.reciprocal(down, out=down)
         gh = up[:, None] * qt - down @ qs
 
-        def gather(at: np.ndarray, rows: np.ndarray) -> np.ndarray:
-            return np.stack([np.bincount(at, rows[:, j], n) for j in range(d)], 1)
-
-        gq = gather(target, up[:, None] * h) - gather(sampled, down.T @ h)
-        gb = np.bincount(target, up, n) - np.bincount(sampled, down.sum(0), n)
-        for p, g, a in zip((self.r1, self.r2, self.q, self.b), (gather(c1, gh), gather(c2, gh), gq, gb), grown, strict=True):
-            a += g * g
-            p += rate * g / np.sqrt(a + 1e-8)
+        def met(*at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """The symbols of a step, and each symbol's place among them: only their gradients are not 0."""
+            marked = np.zeros(n, bool)
+            for x in at:
+                marked[x] = True
+            return np.flatnonzero(marked), np.cumsum(marked) - 1
+
+        def gather(at: np.ndarray, rows: np.ndarray, k: int) -> np.ndarray:
+            return np.bincount((at[:, None] * d + np.arange(d)).ravel(), rows.ravel(), k * d).reshape(k, d)
+
+        def step(p: np.ndarray, a: np.ndarray, on: np.ndarray, g: np.ndarray) -> None:
+            a[on] += g * g
+            p[on] += rate * g / np.sqrt(a[on] + 1e-8)
+
+        of_q, at = met(target, sampled)
+        k = len(of_q)
+        gq = gather(at[target], up[:, None] * h, k) - gather(at[sampled], down.T @ h, k)
+        gb = np.bincount(at[target], up, k) - np.bincount(at[sampled], down.sum(0), k)
+        for p, a, c in ((self.r1, grown[0], c1), (self.r2, grown[1], c2)):
+            on, at = met(c)
+            step(p, a, on, gather(at[c], gh, len(on)))
+        step(self.q, grown[2], of_q, gq)
+        step(self.b, grown[3], of_q, gb)
 
     def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For all symbols: scores after the last and after the last but one, and log-normalisers of all pairs (last, last but one)."""

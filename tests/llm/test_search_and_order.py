@@ -104,6 +104,24 @@ def test_lm_is_normalised_and_learns():
     assert logp.mean() > np.log(unigram[s[2:]]).mean() + 1
 
 
+def test_lm_learns_from_every_position(frame, rng):
+    docs = frame([(i, prose(rng, rng.randint(1, 60))) for i in range(40)]).coalesce(1).cache()
+    ts = [r["text"] for r in docs.collect()]
+    counts = L.word_counts(docs).cache()
+    vocab = L.vocabulary(counts, len(ts), symbols=64, classes=8)
+    got = L.train(docs, vocab, 8)
+    vocab.ready()
+    _, symbols, _, ends = L._joined(vocab, ts)
+    c2, c1 = L.contexts(symbols, ends)
+    want, gen = L.LogBilinear.start(vocab.unigram(), 8), np.random.default_rng(1)
+    at = gen.permutation(len(symbols))
+    grown = [np.zeros_like(x) for x in (want.r1, want.r2, want.q, want.b)]
+    for i in range(0, len(at), L.BATCH):
+        part = at[i : i + L.BATCH]
+        want.train(c2[part], c1[part], symbols[part], vocab.unigram(), gen, grown)
+    assert all(np.allclose(getattr(got, x), getattr(want, x)) for x in ("r1", "r2", "q", "b"))
+
+
 def test_lm_beats_its_base_on_held_out_texts(frame):
     rng = random.Random(8)
     sides = [[prose(rng, 1).strip(".") + x for _ in range(60)] for x in "ab"]  # two languages
