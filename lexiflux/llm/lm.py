@@ -25,15 +25,16 @@ from pyspark.sql import functions as F
 
 from lexiflux.llm.common import ship, stored, texts
 
-#: Symbols in all, of which so many are classes of rarer words; a word's class is the CRC of its first bytes.
-SYMBOLS, CLASSES, CLASS_BYTES = 2048, 128, 3
+#: Symbols at most, of which so many are classes of rarer words; a word's class is the CRC of its first bytes. Symbols
+#: grow with the vocabulary up to there: each worker holds three tables of their pairs, 64 MB each.
+SYMBOLS, CLASSES, CLASS_BYTES = 4096, 128, 3
 HEAD = 200_000
 DIMENSION, NOISE, BATCH, RATE = 24, 128, 1024, 0.2
 #: One training position in so many, in every text, at a phase that the text sets; 1 is every position.
 STRIDE = 1
 #: Distinct words that a task counts before it passes them on.
 FLUSH = 500_000
-#: Symbols whose parameters travel together, and tasks whose parameters are averaged at once.
+#: Symbols whose parameters travel together and whose pairs are normalised at once, and tasks whose parameters are averaged at once.
 BLOCK, GROUP = 256, 64
 #: Texts that are cut into words at once.
 SLICE = 500
@@ -192,11 +193,17 @@ class LogBilinear:
 
     def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For all symbols: scores after the last and after the last but one, and log-normalisers of all pairs (last, last but one)."""
-        s1 = (self.r1 @ self.q.T + self.b).astype(np.float32)
-        s2 = (self.r2 @ self.q.T).astype(np.float32)
+        n = len(self.b)
+        s1, s2, z = (np.empty((n, n), np.float32) for _ in range(3))
+        blocks = [slice(i, i + BLOCK) for i in range(0, n, BLOCK)]
+        for k in blocks:
+            s1[k] = self.r1[k] @ self.q.T + self.b
+            s2[k] = self.r2[k] @ self.q.T
         m1, m2 = s1.max(1), s2.max(1)
-        z = np.exp(s1 - m1[:, None]) @ np.exp(s2 - m2[:, None]).T
-        return s1, s2, np.log(np.maximum(z, 1e-37)) + m1[:, None] + m2[None, :]
+        e2 = np.exp(s2 - m2[:, None]).T
+        for k in blocks:
+            z[k] = np.log(np.maximum(np.exp(s1[k] - m1[k, None]) @ e2, 1e-37)) + m1[k, None] + m2[None, :]
+        return s1, s2, z
 
 
 def contexts(symbols: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -122,6 +122,13 @@ def test_lm_learns_from_every_position(frame, rng):
     assert all(np.allclose(getattr(got, x), getattr(want, x)) for x in ("r1", "r2", "q", "b"))
 
 
+def test_lm_symbols_grow_with_the_vocabulary(spark):
+    for n, own in ((50, 50), (3000, 3000), (9000, L.SYMBOLS - L.CLASSES - 1)):
+        counts = spark.createDataFrame([(b"w%d" % i, 1 + n // (i + 1)) for i in range(n)], "word binary, c long").cache()
+        vocab = L.vocabulary(counts, 10)
+        assert vocab.short == own and len(vocab.unigram()) == 1 + own + L.CLASSES
+
+
 def test_lm_beats_its_base_on_held_out_texts(frame):
     rng = random.Random(8)
     sides = [[prose(rng, 1).strip(".") + x for _ in range(60)] for x in "ab"]  # two languages
