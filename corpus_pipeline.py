@@ -1,7 +1,7 @@
 """The corpus pipeline: from documents to the order in which a mix of them is trained on.
 
 STAGES run in turn over what the stage before kept. All but the last return the columns of documents; the last returns
-the mix's plan, one row per document, by doc_id; the texts are in the table that the stage before it wrote.
+the mix's plan, one row per document with all its repeats, by doc_id; the texts are in the table that the stage before it wrote.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What the mix takes of each document and when, in order of training."""
-    return mixing.in_order(mixing.mix(docs))
+    return mixing.in_order(mixing.schedule(docs))
 
 
 STAGES = [

@@ -53,11 +53,17 @@ def due(offset: Column, quota: Column, slope: Column) -> Column:
 
 
 def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS, lean: float = LEAN) -> DataFrame:
-    """One row per row of documents: doc_id, source, size, source_size, target, taken, position.
+    """schedule() without repeats: one row per row of documents, with the position of its first repeat alone."""
+    return schedule(documents, weights, max_repeats, lean).drop("repeats")
+
+
+def schedule(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS, lean: float = LEAN) -> DataFrame:
+    """One row per row of documents: doc_id, source, size, source_size, target, taken, position, repeats.
 
     size counts words (null text: 0). taken is how many words of the row the mix takes over all repeats, at most
     max_repeats times its size; a source's taken words sum to its rounded target. position is the word of the mix at
-    which the row is first due, null where nothing is taken. Sources in code-point order, a null source last, take the
+    which the row is first due, null where nothing is taken. repeats has position and taken of each time that the row is
+    due, in order; it is empty where nothing is taken. Sources in code-point order, a null source last, take the
     weights in turn. Rows with equal ids queue side by side and are counted each for itself; a null id queues as
     'null'. Extra columns are ignored. Reruns agree: the queue's order is the MD5 of the id.
     """
@@ -73,10 +79,13 @@ def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: i
     within = Window.partitionBy("_src", "_bucket").orderBy("_key", F.col("doc_id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, -1)
     rows = sized.join(buckets, ["_src", "_bucket"])
     rows = rows.withColumn("_at", F.col("_before") + F.coalesce(F.sum("size").over(within), F.lit(0)))
-    taken = sum((F.greatest(F.lit(0), F.least(F.col("size"), F.col("_quota") - (F.col("_at") + F.col("source_size") * e))) for e in range(max_repeats)), F.lit(0))
-    rows = rows.withColumn("taken", taken.cast("long"))
-    position = F.when(F.col("taken") > 0, F.floor(F.col("total").cast("double") * due(F.col("_at"), F.col("_quota"), F.col("_slope"))))
-    return rows.select("doc_id", "source", "size", "source_size", "target", "taken", position.cast("long").alias("position"))
+    offsets = [F.col("_at") + F.col("source_size") * e for e in range(max_repeats)]
+    each = [F.greatest(F.lit(0), F.least(F.col("size"), F.col("_quota") - at)).cast("long") for at in offsets]
+    rows = rows.withColumn("taken", sum(each, F.lit(0)).cast("long"))
+    positions = [F.floor(F.col("total").cast("double") * due(at, F.col("_quota"), F.col("_slope"))).cast("long") for at in offsets]
+    repeats = F.array(*(F.when(n > 0, F.struct(p.alias("position"), n.alias("taken"))) for p, n in zip(positions, each, strict=True)))
+    position = F.when(F.col("taken") > 0, positions[0])
+    return rows.select("doc_id", "source", "size", "source_size", "target", "taken", position.alias("position"), F.array_compact(repeats).alias("repeats"))
 
 
 def in_order(mixed: DataFrame) -> DataFrame:

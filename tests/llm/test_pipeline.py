@@ -62,6 +62,13 @@ def test_queries_have_the_contract_columns(spark):
     assert set(columns.split()) and {"doc_id", "size", "source_size", "target", "taken"} <= set(found["op9_mixing"](spark, DATA).columns)
 
 
+@needs_data
+def test_last_stage_places_every_repeat(spark):
+    rows = P.mix_sources(spark, spark.read.parquet(f"{DATA}/documents.parquet"), DATA).collect()
+    assert all(sum(x["taken"] for x in r["repeats"]) == r["taken"] for r in rows)
+    assert any(len(r["repeats"]) > 1 for r in rows)
+
+
 def test_mixing_is_native():
     from lexiflux.llm import mixing
 

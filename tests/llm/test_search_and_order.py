@@ -1,3 +1,4 @@
+import hashlib
 import math
 import random
 import zlib
@@ -166,6 +167,32 @@ def test_mixing(frame, rng, odd, case):
     assert places == sorted(places)
 
 
+def test_mixing_places_every_repeat(frame, rng):
+    rows = [(i, prose(rng, 3 + i % 4 if i % 10 else 400), "big" if i % 10 == 0 else f"s{i % 10}") for i in range(120)]
+    got = {r["doc_id"]: r for r in M.schedule(frame(rows)).collect()}
+    size = {i: len(t.split()) for i, t, _ in rows}
+    total, names = sum(size.values()), sorted({s for _, _, s in rows})
+    quota = {r["source"]: math.floor(r["target"] + 0.5) for r in got.values()}
+    sign = {s: 1 - 2 * (k % 2) for k, s in enumerate(names)}
+    mean = sum(quota[s] * sign[s] for s in names) / sum(quota.values())
+    for name in names:
+        queue = sorted((hashlib.md5(str(i).encode()).hexdigest(), i) for i, _, s in rows if s == name)
+        slope, at, want = M.LEAN * (sign[name] - mean), 0, {i: [] for _, i in queue}
+        for _, i in queue * M.MAX_REPEATS:
+            if (n := min(size[i], quota[name] - at)) > 0:
+                want[i].append((at, n))
+            at += size[i]
+        demand = lambda t: quota[name] * ((1 - slope) * t + slope * t * t)  # noqa: B023, E731
+        for i, due in want.items():
+            r = got[i]
+            assert [x["taken"] for x in r["repeats"]] == [n for _, n in due] and r["taken"] == sum(n for _, n in due)
+            assert r["position"] == (r["repeats"][0]["position"] if due else None)
+            for x, (at_word, _) in zip(r["repeats"], due, strict=True):
+                assert demand(x["position"] / total) <= at_word + 1e-6 and demand((x["position"] + 1) / total) >= at_word - 1e-6
+    assert max(len(r["repeats"]) for r in got.values()) == 3
+    assert M.mix(frame(rows)).columns == ["doc_id", "source", "size", "source_size", "target", "taken", "position"]
+
+
 def test_quotes(spark):
     deep = "line of talk\n" * 3
     rows = [
