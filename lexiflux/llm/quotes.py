@@ -71,8 +71,8 @@ def dissect(text: str) -> tuple[str, list[int], list[int], int, int]:
 def link_quotes(conversations: DataFrame) -> DataFrame:
     """conv_id, turn, role, content, parent_turn, by_quote, n_quotes, depth for each row, in order of reply within a conversation.
 
-    parent_turn is the largest earlier turn whose message said a quoted passage or one of its lines, else the turn
-    before; null for a first turn. content is the message without quotes. Null texts count as empty, messages that are
+    parent_turn is the largest earlier turn whose message said a quoted passage of the outermost level or one of its
+    lines, else the turn before; null for a first turn. Deeper levels are counted, not joined. content is the message without quotes. Null texts count as empty, messages that are
     only quotes have empty content. Messages of equal turns are kept each, none is the parent of another; rows with a
     null conversation share one, those with a null turn come last in it and are no one's parent. Extra columns are
     ignored. A parent's turn is smaller than its child's, so that order of turns is order of reply.
