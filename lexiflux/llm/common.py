@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiflux.plans.cluster import durable, shared_dir, ship
 
-__all__ = ["WORD", "durable", "fold", "one_label", "ship", "shared_dir", "stored", "table", "texts"]
+__all__ = ["WORD", "durable", "fold", "in_parts", "one_label", "ship", "shared_dir", "spent", "stored", "table", "texts"]
+
+#: Rows, and bytes on average, that a worker takes up at once: what it makes of them is several times as large.
+PART_ROWS, PART_BYTES = 512, 2_000_000
 
 #: One word: code points other than space and the ASCII controls tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -23,7 +28,25 @@ def stored(df: DataFrame) -> DataFrame:
     """Cuts lineage with a compressed table in the checkpoint folder: for what is large or read by column."""
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._lexiflux_path = path
+    return out
+
+
+def spent(*tables: DataFrame) -> None:
+    """Removes stored tables that nothing will read again: all that was made of them is stored itself."""
+    for df in tables:
+        jvm = df.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df._lexiflux_path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def in_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, so that a worker's memory depends neither on a batch's rows nor on its texts' mean length."""
+    for b in batches:
+        step = max(1, min(PART_ROWS, b.num_rows * PART_BYTES // max(b.nbytes, 1)))
+        for i in range(0, b.num_rows, step):
+            yield b.slice(i, step)
 
 
 def fold(modulus: int, doc_id: str | Column = "doc_id") -> Column:

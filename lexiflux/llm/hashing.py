@@ -8,6 +8,8 @@ _P = 0x9E3779B97F4A7C15 | 1
 _Q = 0xC2B2AE3D27D4EB4F
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _WORD_BYTE = np.array([c >= 128 or chr(c).isalnum() or c == 95 for c in range(256)])
+#: Bytes of a text that are hashed at once; a longer text is cut between words.
+SPAN = 1 << 18
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -22,26 +24,38 @@ def mix64(h: np.ndarray) -> np.ndarray:
 
 
 def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse modulo 2**64, up to n of each."""
+    """Powers of an odd base and of its inverse modulo 2**64, at least n of each; those of a span are kept."""
     if len(_powers[0]) < n:
-        for i, base in enumerate((_P, pow(_P, -1, 1 << 64))):
-            p = np.full(2 * n, base, np.uint64)
+        tables = []
+        for base in (_P, pow(_P, -1, 1 << 64)):
+            p = np.full(max(n, SPAN + 1), base, np.uint64)
             p[0] = 1
-            _powers[i] = np.cumprod(p)
+            tables.append(np.cumprod(p))
+        if n > SPAN + 1:  # a word longer than a span
+            return tables[0], tables[1]
+        _powers[:] = tables
     return _powers[0], _powers[1]
 
 
 def word_hashes(text: str) -> np.ndarray:
     """One hash for each word of a text, in order: runs of letters, digits and characters beyond ASCII, in lower case."""
     raw = np.frombuffer(text.lower().encode("utf-8", "surrogatepass"), np.uint8)
-    n = len(raw)
-    edge = np.diff(np.concatenate([[False], _WORD_BYTE[raw], [False]]).astype(np.int8))
-    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    up, down = _powers_to(n + 1)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[:n], dtype=np.uint64)])
-    return mix64((total[ends] - total[starts]) * down[starts])
+    inside = np.zeros(len(raw) + 2, bool)
+    np.take(_WORD_BYTE, raw, out=inside[1:-1])
+    starts, ends = np.flatnonzero(inside[1:] & ~inside[:-1]), np.flatnonzero(inside[:-1] & ~inside[1:])
+    out = np.zeros(len(starts), np.uint64)
+    first = 0
+    while first < len(starts):
+        last = max(first + 1, int(np.searchsorted(ends, starts[first] + SPAN, side="right")))
+        s, e = starts[first:last] - starts[first], ends[first:last] - starts[first]
+        part = raw[starts[first] : ends[last - 1]].astype(np.uint64)
+        up, down = _powers_to(len(part) + 1)
+        part += np.uint64(1)
+        part *= up[: len(part)]
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(part, dtype=np.uint64)])
+        out[first:last] = mix64((total[e] - total[s]) * down[s])
+        first = last
+    return out
 
 
 def shingles(words: np.ndarray, size: int = 5) -> np.ndarray:

@@ -5,10 +5,11 @@ regions at which hashed darts are thrown: over each unit of an element's weight
 the rank axis, the same in every text that has the element; a dart also names one of k coordinates, and the earliest
 dart of a coordinate is its signature value. A text whose first throw leaves a coordinate empty throws further.
 
-Nodes that share a band meet in a bucket, but no pairs are made of a bucket: each node is held against a few leaders of
-its buckets, by the exact weighted Jaccard similarity. Links form components. Only where a bucket still holds more than
-one component are its nodes compared block by block, so that no link between components is lost; there too only links
-that join components come out, never pairs.
+Nodes that share a band meet in a bucket, but no pairs are made of a bucket. In each round a node is held against one
+other alone, by the exact weighted Jaccard similarity: of the leaders of its buckets the one that it meets in most of
+them. Links form components, the next round's leaders are those of the components, and buckets of one component are
+done. What a few rounds leave open is compared in full, so that no link between components is lost: small buckets by
+their pairs, crowded ones block by block, of which only links that join components come out.
 """
 
 from __future__ import annotations
@@ -22,13 +23,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiflux.llm.common import durable, ship, texts
+from lexiflux.llm.common import durable, in_parts, ship, spent, stored, texts
 from lexiflux.llm.hashing import mix64, shingles, word_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 5
 #: Cells whose darts are thrown at once.
-CHUNK = 1_000_000
+CHUNK = 100_000
+#: Rounds in which a node meets one leader, and members of an open bucket whose pairs are made after them; a bucket of
+#: more is compared in blocks.
+ROUNDS, SMALL = 3, 8
 #: A group of exact copies is hot from this share of all rows on, so at most 5,000 of them are.
 HOT = 1 / 5000
 #: Nodes of a crowded bucket that are compared with one another at once, twice over.
@@ -112,7 +116,7 @@ def signed(documents: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFr
     ship(documents.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in in_parts(batches):
             nodes, sets = [], []
             for t in b.column(1):
                 words = word_hashes(t.as_py())
@@ -128,20 +132,20 @@ def signed(documents: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFr
 
 
 def _verified(pairs: DataFrame, of: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose texts are similar enough. of: node, text."""
+    """The pairs (a, b) whose texts are similar enough. of: id, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, left = None, None
-        for b in batches:
+        for b in in_parts(batches):
             keep = []
             for i in range(b.num_rows):
-                if (a := b.column("a")[i].as_py()) != last:
-                    last, left = a, weigh(word_hashes(b.column("ta")[i].as_py()))
-                keep.append(similarity(left, weigh(word_hashes(b.column("tb")[i].as_py()))) >= least)
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                if (a := b.column(0)[i].as_py()) != last:
+                    last, left = a, weigh(word_hashes(b.column(2)[i].as_py()))
+                keep.append(similarity(left, weigh(word_hashes(b.column(3)[i].as_py()))) >= least)
+            yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    both = pairs.join(of.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").join(of.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
-    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary")
+    both = pairs.join(of.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").join(of.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
+    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -162,47 +166,103 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _roots(nodes: DataFrame, documents: DataFrame, least: float) -> DataFrame | None:
-    """node, root of all nodes that have a link; None if there are no links at all. nodes: node, doc, keys."""
-    members = nodes.select("node", "doc", F.explode("keys").alias("key"))
-    leaders = members.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.min(F.struct("doc", "node"))["node"].alias("first")).where("lo <> hi")
-    leaders = durable(leaders)
-    shared = durable(members.join(leaders, "key").select("key", "node", "doc", F.array_distinct(F.array("lo", "hi", "first")).alias("to")))
-    pairs = shared.select("node", F.explode("to").alias("to")).where("node <> to")
-    pairs = durable(pairs.select(F.least("node", "to").alias("a"), F.greatest("node", "to").alias("b")).distinct())
-    if pairs.isEmpty():
-        return None
-    met = shared.select("node", "doc").distinct()
-    of = durable(_texts_of(documents, met))
-    links = durable(_verified(pairs, of, least))
-    roots = None if links.isEmpty() else components(links)
-    root = F.coalesce("root", "node")
-    placed = shared.join(roots, "node", "left").select("key", "node", root.alias("root")) if roots is not None else shared.select("key", "node", F.col("node").alias("root"))
-    # among up to three nodes, leaders have met them all
-    open_keys = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("set")).where("lo <> hi AND n > 3")
+def _pair(a: str, b: str) -> list:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+
+class _Groups:
+    """Components of nodes, joined by the links that rounds find. labels: id, root of the nodes in a component of two or more."""
+
+    def __init__(self):
+        self.labels: DataFrame | None = None
+
+    def of(self, rows: DataFrame) -> DataFrame:
+        """rows (id, ...) with root."""
+        if self.labels is None:
+            return rows.withColumn("root", F.col("id"))
+        return rows.join(self.labels, "id", "left").withColumn("root", F.coalesce("root", "id"))
+
+    def join(self, links: DataFrame) -> None:
+        """links (a, b), at least one: their components are found among the components there are, of which each is one node."""
+        if self.labels is None:
+            found = components(links)
+            self.labels = found.select(F.col("node").alias("id"), "root")
+            return
+        for side in ("a", "b"):
+            links = self.of(links.withColumnRenamed(side, "id")).drop("id").withColumnRenamed("root", side)
+        found = components(links.where("a <> b"))
+        lower = found.select(F.col("node").alias("root"), F.col("root").alias("_lower"))
+        known = self.labels.join(lower, "root", "left").select("id", F.coalesce("_lower", "root").alias("root"))
+        # a node that stood alone until now
+        alone = found.select(F.col("node").alias("id"), "root").join(self.labels.select("id"), "id", "left_anti")
+        self.labels = durable(known.unionByName(alone))
+
+
+def _roots(nodes: DataFrame, documents: DataFrame, repeats: bool, least: float) -> DataFrame | None:
+    """id, root of all nodes that have a link; None if there are no links at all. nodes: id, row, keys."""
+    members = nodes.select("id", F.explode("keys").alias("key"))
+    leaders = members.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").drop("hi")
+    shared = stored(members.join(leaders, "key"))
+    of = stored(_texts_of(documents, nodes, shared.select("id").distinct(), repeats))
+    groups, tested = _Groups(), None
+    # the leader that a node meets in most of its buckets is likeliest to be like it
+    pairs = shared.where("lo <> id").groupBy("id").agg(F.mode("lo", True).alias("to")).select(*_pair("id", "to"))
+    open_ = shared
+    for _ in range(ROUNDS):
+        pairs = durable(pairs.distinct())
+        if pairs.isEmpty():
+            break
+        links = durable(_verified(pairs, of, least))
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        if not links.isEmpty():
+            groups.join(links)
+        placed = groups.of(open_.select("key", "id"))
+        ends = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi")
+        last, open_ = open_, stored(placed.join(ends, "key"))
+        spent(last)
+        # a bucket's members meet a member of its first component, those of that component one of its last
+        heads = open_.groupBy("key").agg(F.min(F.when(F.col("root") == F.col("lo"), F.col("id"))).alias("first"), F.min(F.when(F.col("root") == F.col("hi"), F.col("id"))).alias("last"))
+        asked = open_.join(heads, "key").select("id", F.when(F.col("root") == F.col("lo"), F.col("last")).otherwise(F.col("first")).alias("to"))
+        asked = asked.groupBy("id", "to").agg(F.count(F.lit(1)).alias("times")).select("id", "times", *_pair("id", "to")).join(tested, ["a", "b"], "left_anti")
+        best = F.min(F.struct((-F.col("times")).alias("times"), "a", "b"))
+        pairs = asked.groupBy("id").agg(best.alias("best")).select("best.a", "best.b")
+    for links in _rest(open_, tested, of, least):
+        if not links.isEmpty():
+            groups.join(links)
+    spent(open_, of)
+    return groups.labels
+
+
+def _rest(open_: DataFrame, tested: DataFrame | None, of: DataFrame, least: float) -> Iterator[DataFrame]:
+    """Links between components within buckets that are still open: key, id, root, n."""
+    if "n" not in open_.columns or open_.isEmpty():
+        return
     # bands with the same nodes are looked at once
-    open_keys = durable(open_keys.groupBy("set", "n").agg(F.min("key").alias("key")).select("key", "n"))
-    if open_keys.isEmpty():
-        return roots
-    found = durable(_within(placed.join(open_keys, "key"), of, least))
-    if found.isEmpty():
-        return roots
-    return components(links.unionByName(found))
+    open_ = open_.select("key", "id", "root", "n")
+    once = open_.groupBy("key").agg(F.first("n").alias("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("set")).groupBy("set", "n").agg(F.min("key").alias("key")).select("key")
+    open_ = durable(open_.join(once, "key"))
+    few = open_.where(F.col("n") <= SMALL).select("key", "id", "root")
+    other = few.select("key", F.col("id").alias("to"), F.col("root").alias("to_root"))
+    pairs = few.join(other, "key").where("id < to AND root <> to_root").select(F.col("id").alias("a"), F.col("to").alias("b")).distinct()
+    yield durable(_verified(pairs.join(tested, ["a", "b"], "left_anti"), of, least))
+    crowded = open_.where(F.col("n") > SMALL)
+    if not crowded.isEmpty():
+        yield durable(_within(crowded, of, least))
 
 
 def _within(members: DataFrame, of: DataFrame, least: float) -> DataFrame:
-    """Links (a, b) that join different components of a bucket. members: key, n (of the bucket), node, root; of: node, text.
+    """Links (a, b) that join different components of a bucket. members: key, n (of the bucket), id, root; of: id, text.
 
     A bucket is cut into blocks of about BLOCK nodes, and every two of its blocks are compared by matrix products in a
     task of their own; only links that join what was apart come out, fewer than the nodes of the two blocks.
     """
     n_blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    rows = members.withColumn("block", F.pmod(F.xxhash64("node"), n_blocks).cast("int"))
+    rows = members.withColumn("block", F.pmod(F.xxhash64("id"), n_blocks).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
-    rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "root").join(of, "node")
+    rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "root").join(of, "id")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        nodes, group = list(pdf.node), list(pdf.root)
+        nodes, group = list(pdf.id), list(pdf.root)
         sets = [weigh(word_hashes(t)) for t in pdf.text]
         # unit cells of weight, so that the smaller weights' sum is the number of common cells
         cells = [np.repeat(ids, n) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)).astype(np.uint64) * _STEP for ids, n in sets]
@@ -222,7 +282,7 @@ def _within(members: DataFrame, of: DataFrame, least: float) -> DataFrame:
         i, j = np.nonzero(np.triu(common >= least * (size[:, None] + size[None, :] - common) - 1e-3, 1))
         top = {g: g for g in group}
 
-        def find(g: bytes) -> bytes:
+        def find(g: int) -> int:
             while top[g] != g:
                 g = top[g]
             return g
@@ -235,34 +295,37 @@ def _within(members: DataFrame, of: DataFrame, least: float) -> DataFrame:
                 links.append((nodes[x], nodes[y]))
         return pd.DataFrame(links, columns=["a", "b"])
 
-    return rows.groupBy("key", "i", "j").applyInPandas(compare, "a binary, b binary")
+    return rows.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long")
 
 
-def _texts_of(documents: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, text for each of nodes (node, doc): the text of a row with that id whose words are the node's."""
+def _texts_of(documents: DataFrame, nodes: DataFrame, wanted: DataFrame, repeats: bool) -> DataFrame:
+    """id, text of the wanted nodes (id): the text of the row that stands for each. repeats: whether any row occurs twice."""
+    rows = nodes.select("id", F.col("row.doc_id").alias("_doc"), F.col("row.hash").alias("_hash")).join(wanted, "id", "left_semi")
+    docs = texts(documents).withColumn("_text_hash", F.xxhash64("text"))
+    found = docs.join(rows, docs["doc_id"].eqNullSafe(rows["_doc"]) & (docs["_text_hash"] == rows["_hash"])).select("id", "text")
+    return found.dropDuplicates(["id"]) if repeats else found
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            same = [hashlib.md5(word_hashes(t.as_py()).tobytes(), usedforsecurity=False).digest() == n.as_py() for n, t in zip(b.column(0), b.column(1), strict=True)]
-            yield b.filter(pa.array(same, pa.bool_()))
-
-    docs = texts(documents)
-    rows = docs.join(nodes, docs["doc_id"].eqNullSafe(nodes["doc"])).select("node", "text")
-    return rows.mapInArrow(run, "node binary, text string").dropDuplicates(["node"])
 
+def _classes(documents: DataFrame, least: float, bands: int, rows: int) -> tuple[DataFrame, DataFrame, bool]:
+    """Rows (doc_id, hash, node), nodes (node, n, root, row, class_id, n_texts, n_rows), both durable, and whether any row occurs twice.
 
-def _classes(documents: DataFrame, least: float, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
-    """Rows (doc_id, hash, node) and nodes (node, n, root, class_id, n_texts, n_rows), both durable."""
-    rows_ = durable(signed(documents, bands, rows))
-    nodes = durable(rows_.groupBy("node").agg(F.min("doc_id").alias("doc"), F.count(F.lit(1)).alias("n"), F.first("keys").alias("keys")))
-    roots = _roots(nodes, documents, least)
-    classes = nodes.select("node", "doc", "n")
-    if roots is None:
-        classes = classes.withColumn("root", F.col("node"))
-    else:
-        classes = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    by_root = classes.groupBy("root").agg(F.min("doc").alias("class_id"), F.count(F.lit(1)).alias("n_texts"), F.sum("n").alias("n_rows"))
-    return rows_.select("doc_id", "hash", "node"), durable(classes.join(by_root, "root"))
+    A row stands for a node, and a node's row for its class, by the smallest id (null ids last), then the smallest hash.
+    """
+    all_ = stored(signed(documents, bands, rows))
+    row = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "hash")
+    nodes = all_.groupBy("node").agg(F.min(row).alias("row"), F.count(F.lit(1)).alias("n"), F.first("keys").alias("keys"))
+    nodes = stored(nodes.withColumn("id", F.monotonically_increasing_id()))  # fixed, once stored
+    own = stored(all_.drop("keys"))
+    spent(all_)
+    repeats = not own.groupBy("doc_id", "hash").count().where("count > 1").isEmpty()
+    roots = _roots(nodes, documents, repeats, least)
+    classes = nodes.select("id", "node", "row", "n")
+    classes = classes.withColumn("root", F.col("id")) if roots is None else classes.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    by_root = classes.groupBy("root").agg(F.min("row").alias("head"), F.count(F.lit(1)).alias("n_texts"), F.sum("n").alias("n_rows"))
+    classes = classes.join(by_root, "root").select("node", "n", "root", F.col("head.doc_id").alias("class_id"), "head", "n_texts", "n_rows")
+    out = stored(classes)
+    spent(nodes)
+    return own, out, repeats
 
 
 def near_duplicates(documents: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -271,9 +334,10 @@ def near_duplicates(documents: DataFrame, least: float = SIMILARITY, bands: int
     class_id is the smallest doc_id of the class: rows that links of a weighted similarity of at least `least` on
     shingles of five words join, through any number of steps. n_texts counts the class's different texts (as sequences
     of words), n_rows its rows. Null and empty texts, and all others without words, are one class. Repeated rows are in
-    the same class. Null ids come after all others: a class of null ids alone has a null class_id.
+    the same class. Null ids come after all others: a class of null ids alone has a null class_id. Extra columns are
+    ignored, whatever their names. Texts of any length are taken whole; an empty table gives no rows.
     """
-    own, classes = _classes(documents, least, bands, rows)
+    own, classes, _ = _classes(documents, least, bands, rows)
     hot = F.col("n") >= max(1000, int(own.count() * HOT))
     found = classes.select("node", "n", "class_id", "n_texts", "n_rows")
     # at most 1 / HOT groups are hot; their rows are met where they are
@@ -283,15 +347,16 @@ def near_duplicates(documents: DataFrame, least: float = SIMILARITY, bands: int
 
 
 def representatives(documents: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """One row of each class, with all its columns: that of the smallest id (null ids last; of equal ids the smallest hash of text)."""
-    own, classes = _classes(documents, least, bands, rows)
-    # a node's first row, then the class's: both are least values, summed in tasks first
-    first = own.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "hash")).alias("row"))
-    first = first.join(classes.select("node", "root"), "node").groupBy("root").agg(F.min("row").alias("row"))
-    first = durable(first.select(F.col("row.doc_id").alias("__lexiflux_id"), F.col("row.hash").alias("__lexiflux_hash")))
+    """One row of each class, with all its columns: that of the smallest id (null ids last; of equal ids the smallest hash of text).
+
+    Of rows that repeat, one is taken. Null and empty texts are one class, of which one row stays. An empty table stays
+    empty.
+    """
+    _, classes, repeats = _classes(documents, least, bands, rows)
+    heads = classes.select(F.col("head.doc_id").alias("__lexiflux_id"), F.col("head.hash").alias("__lexiflux_hash")).distinct()
     rows_ = documents.withColumn("__lexiflux_text", F.xxhash64(F.coalesce("text", F.lit(""))))
-    same = rows_["doc_id"].eqNullSafe(first["__lexiflux_id"]) & (rows_["__lexiflux_text"] == first["__lexiflux_hash"])
-    kept = rows_.join(first, same, "left_semi")
-    if not own.groupBy("doc_id", "hash").count().where("count > 1").isEmpty():  # rows repeat, so one of each is taken
+    same = rows_["doc_id"].eqNullSafe(heads["__lexiflux_id"]) & (rows_["__lexiflux_text"] == heads["__lexiflux_hash"])
+    kept = rows_.join(heads, same, "left_semi")
+    if repeats:
         kept = kept.dropDuplicates(["doc_id", "__lexiflux_text"])
     return kept.drop("__lexiflux_text")
