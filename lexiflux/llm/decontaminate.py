@@ -12,6 +12,7 @@ sent to all tasks. Texts are not shuffled.
 from __future__ import annotations
 
 import re
+import uuid
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiflux.llm.common import ship, texts
+from lexiflux.llm.common import in_parts, ship, texts
 
 #: Edits of words allowed for each word of an item, rounded down.
 BUDGET = 0.2
@@ -86,7 +87,7 @@ class Block:
         self.some = bool(of)
 
     def matches(self, text: str) -> list[tuple[int, int, int]]:
-        """(item_id, distance, word of the text at which the passage ends) for each item within its limit."""
+        """(place of the item in the block, distance, word of the text at which the passage ends) for each item within its limit."""
         s = normal(text)
         found = list(self.automaton.iter(s)) if self.some else []
         if not found:
@@ -111,10 +112,21 @@ class Block:
         for n, own in windows.items():
             d, end = min((d, lo + end) for lo, hi in own for d, end in [myers(self.items[n][1], words[lo:hi])])
             if d <= self.limit[n]:
-                out.append((self.items[n][0], d, end))
+                out.append((n, d, end))
         return out
 
 
+_BLOCKS: dict[str, Block] = {}
+
+
+def _block_of(key: str, items: list[tuple[int, list[str]]], budget: float) -> Block:
+    """The automaton of a block, which key names; a worker builds it once and keeps the last."""
+    if key not in _BLOCKS:
+        _BLOCKS.clear()
+        _BLOCKS[key] = Block(items, budget)
+    return _BLOCKS[key]
+
+
 def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, list[str]]]]:
     block, size = [], 0
     for r in benchmark.select("item_id", "text").orderBy(F.col("item_id").asc_nulls_last(), "text").toLocalIterator():
@@ -135,7 +147,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, budget: float = BUD
     A passage is a run of words at most floor(budget * words of the item) edits of words away from the whole item, in
     lower case and without punctuation; end_word is the text's word after the best one, the first of equals. Null and
     empty texts hold nothing, items without words match nothing. Repeated rows give repeated results, items of equal id
-    one each. Extra columns are ignored.
+    one each, with the length of their own. Extra columns are ignored.
     """
     spark = documents.sparkSession
     ship(spark)
@@ -145,15 +157,15 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, budget: float = BUD
     for items in _blocks(benchmark):
         sent = spark.sparkContext.broadcast(items)
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            block = Block(sent.value, budget)
-            long = {i: len(w) for i, w in sent.value}
-            for b in batches:
+        def run(batches: Iterator[pa.RecordBatch], sent=sent, key=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
+            block = _block_of(key, sent.value, budget)
+            for b in in_parts(batches):
                 rows, found = [], []
                 for i, t in enumerate(b.column(1)):
-                    for item, d, end in block.matches(t.as_py()):
+                    for n, d, end in block.matches(t.as_py()):
+                        item, words = block.items[n]
                         rows.append(i)
-                        found.append((item, d, long[item], end))
+                        found.append((item, d, len(words), end))
                 item, d, m, end = zip(*found, strict=True) if found else [()] * 4
                 item_type = pa.int64() if kinds[1] == "bigint" else pa.int32() if kinds[1] == "int" else pa.string()
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.array(item, item_type), *(pa.array(x, pa.int64()) for x in (d, m, end))], ["doc_id", "item_id", "distance", "n_item_words", "end_word"])
@@ -164,15 +176,19 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, budget: float = BUD
 
 
 def clean(documents: DataFrame, benchmark: DataFrame, budget: float = BUDGET) -> DataFrame:
-    """The rows of documents, with all their columns, that hold no item's passage; nothing is shuffled."""
+    """The rows of documents, with all their columns, that hold no item's passage; nothing is shuffled.
+
+    Null and empty texts hold nothing and stay; repeated rows are judged each for itself; an item without words is no
+    passage, so an empty benchmark keeps all rows.
+    """
     ship(documents.sparkSession)
     place = documents.columns.index("text")
     for items in _blocks(benchmark):
         sent = documents.sparkSession.sparkContext.broadcast(items)
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            block = Block(sent.value, budget)
-            for b in batches:
+        def run(batches: Iterator[pa.RecordBatch], sent=sent, key=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
+            block = _block_of(key, sent.value, budget)
+            for b in in_parts(batches):
                 yield b.filter(pa.array([not block.matches(t.as_py() or "") for t in b.column(place)], pa.bool_()))
 
         documents = documents.mapInArrow(run, documents.schema)

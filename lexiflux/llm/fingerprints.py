@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiflux.llm.common import ship, texts
+from lexiflux.llm.common import in_parts, ship, texts
 
 K, W = 16, 33
 #: Neighbouring documents are compared in runs of about so many, and in so many runs at most.
@@ -89,7 +89,7 @@ def fingerprints(documents: DataFrame, k: int = K, w: int = W) -> DataFrame:
     ship(documents.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in in_parts(batches):
             ts = b.column(1).to_pylist()
             fps = [fingerprint(t, k, w)[0] for t in ts]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(t) for t in ts], pa.int64()), pa.array(fps, pa.string())], ["doc_id", "n_chars", "fingerprint"])
@@ -143,7 +143,7 @@ def neighbours(documents: DataFrame, k: int = K, w: int = W) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # the row whose next is awaited: run, id as Arrow has it, text, fingerprint
-        for b in batches:
+        for b in in_parts(batches):
             ids, out = [], []
             runs, guests = b.column(2).to_pylist(), b.column(3).to_pylist()
             for i in range(b.num_rows):

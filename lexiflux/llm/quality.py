@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexiflux.llm.common import durable, one_label, ship, texts
+from lexiflux.llm.common import durable, in_parts, one_label, ship, texts
 
 SHRINK, RIDGE = 0.1, 1e-3
 _CLASS = np.zeros(256, np.int64)  # 0 other, 1 lower, 2 upper, 3 digit, 4 space, 5 line end, 6 end of sentence, 7 other ASCII sign, 8 beyond ASCII
@@ -47,11 +47,12 @@ def measure(text: str) -> list[float]:
 
 @dataclass
 class Discriminant:
-    """For each class: log prior, mean, lower Cholesky factor of the shrunk covariance, and its log determinant."""
+    """For each class: log prior, mean, lower Cholesky factor of the shrunk covariance with its inverse, and its log determinant."""
 
     prior: np.ndarray
     mean: np.ndarray
     factor: np.ndarray
+    whiten: np.ndarray
     logdet: np.ndarray
 
     @classmethod
@@ -66,13 +67,18 @@ class Discriminant:
             s = product[c] / n[c] - np.outer(mean[c], mean[c]) if n[c] >= 2 else pooled
             s = (1 - shrink) * s + shrink * np.diag(np.diag(s)) + ridge * np.eye(d)
             factor[c] = np.linalg.cholesky((s + s.T) / 2)
-        return cls(np.log((n + 1) / (n.sum() + 2)), mean, factor, 2 * np.log(np.diagonal(factor, axis1=1, axis2=2)).sum(1))
+        whiten = np.zeros_like(factor)
+        for i in range(d):  # by forward substitution, a row at a time
+            whiten[:, i] = -np.einsum("cj,cjk->ck", factor[:, i, :i], whiten[:, :i])
+            whiten[:, i, i] += 1
+            whiten[:, i] /= factor[:, i, i, None]
+        return cls(np.log((n + 1) / (n.sum() + 2)), mean, factor, whiten, 2 * np.log(np.diagonal(factor, axis1=1, axis2=2)).sum(1))
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         """The posterior of class 1 by Mahalanobis distances through the cached factors."""
         logs = []
         for c in (0, 1):
-            z = np.linalg.solve(self.factor[c], (x - self.mean[c]).T)
+            z = self.whiten[c] @ (x - self.mean[c]).T
             logs.append(self.prior[c] - 0.5 * ((z * z).sum(0) + self.logdet[c]))
         return 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -700, 700)))
 
@@ -82,7 +88,7 @@ def measured(documents: DataFrame) -> DataFrame:
     ship(documents.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in in_parts(batches):
             x = np.array([measure(t.as_py()) for t in b.column(1)], float).reshape(-1, len(FEATURES))
             xs = pa.ListArray.from_arrays(np.arange(0, x.size + 1, len(FEATURES), dtype=np.int32), pa.array(x.ravel()))
             yield pa.RecordBatch.from_arrays([b.column(0), xs], ["doc_id", "x"])

@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lexiflux.llm.common import ship, texts
+from lexiflux.llm.common import in_parts, ship, texts
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MAX_NODES = 600_000
@@ -142,7 +142,7 @@ def token_counts(documents: DataFrame, vocabulary: str = VOCABULARY, max_nodes:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = _TRIES.get(key) or _TRIES.setdefault(key, Trie(Pieces(sent.value), max_nodes))
-        for b in batches:
+        for b in in_parts(batches):
             words, tokens = [], []
             for t in b.column(1):
                 found = PRETOKEN.findall(t.as_py())

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexiflux.llm.common import one_label, ship, texts
+from lexiflux.llm.common import in_parts, one_label, ship, texts
 
 #: Identity terms that may replace one another. Fixed values; callers may give other sets.
 IDENTITY_SETS = (
@@ -38,6 +38,8 @@ MAX_FEATURES = 6000
 #: Least gain in log-likelihood of a feature that is used: less may be chance.
 MIN_GAIN = 3.0
 STEMS = (4, 5, 6, 7)
+#: Different words whose features a task remembers before it forgets them all.
+CACHE = 100_000
 THRESHOLD = 0.3
 _WORD = re.compile(r"\w+")
 _SENTENCE = re.compile(r"[^.!?\n]+")
@@ -76,6 +78,21 @@ class Model:
         return self.bias + sum(map(self.weights.__getitem__, sorted(found)))
 
 
+class Scorer:
+    """Scores texts by a model; the features of at most CACHE different words are kept."""
+
+    def __init__(self, model: Model):
+        self.model, self.cache = model, {}
+
+    def __call__(self, column: pa.Array) -> np.ndarray:
+        z = []
+        for t in column:
+            z.append(self.model.logit(set(_WORD.findall((t.as_py() or "").lower())), self.cache))
+            if len(self.cache) > CACHE:
+                self.cache.clear()
+        return 1 / (1 + np.exp(-np.clip(np.array(z, float), -700, 700)))
+
+
 class Index:
     """Numbers for features; the numbers of a word's features are kept, so that a word is cut up once."""
 
@@ -155,7 +172,7 @@ def train(documents: DataFrame, labels: DataFrame, held_out: Column, column: str
     sets_sent = tuple(sets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in in_parts(batches):
             words, swaps = [], []
             for t in b.column(1):
                 t = t.as_py()
@@ -175,15 +192,12 @@ def train(documents: DataFrame, labels: DataFrame, held_out: Column, column: str
 def score(documents: DataFrame, model: Model) -> DataFrame:
     """doc_id, score for each row, by its whole text."""
     ship(documents.sparkSession)
-    sent = documents.sparkSession.sparkContext.broadcast(model)  # at most MAX_FEATURES weights
+    sent = documents.sparkSession.sparkContext.broadcast(model)  # a weight for each feature of a bounded number of labelled rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, cache = sent.value, {}
-        for b in batches:
-            z = np.array([model.logit(set(_WORD.findall(t.as_py().lower())), cache) for t in b.column(1)], float)
-            if len(cache) > 1_000_000:
-                cache.clear()
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(1 / (1 + np.exp(-np.clip(z, -700, 700))))], ["doc_id", "score"])
+        of = Scorer(sent.value)
+        for b in in_parts(batches):
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(of(b.column(1)))], ["doc_id", "score"])
 
     return texts(documents).mapInArrow(run, f"doc_id {dict(documents.dtypes)['doc_id']}, score double")
 
@@ -207,9 +221,8 @@ def reject(documents: DataFrame, model: Model, threshold: float = THRESHOLD) ->
     place = documents.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, cache = sent.value, {}
-        for b in batches:
-            z = np.array([model.logit(set(_WORD.findall((t.as_py() or "").lower())), cache) for t in b.column(place)], float)
-            yield b.filter(pa.array(1 / (1 + np.exp(-np.clip(z, -700, 700))) < threshold))
+        of = Scorer(sent.value)
+        for b in in_parts(batches):
+            yield b.filter(pa.array(of(b.column(place)) < threshold))
 
     return documents.mapInArrow(run, documents.schema)
