@@ -103,26 +103,42 @@ def test_word_hashes(rng):
     assert word_hashes("x" * 10 + " abc").tolist()[1] == word_hashes("abc").tolist()[0]
 
 
-def sifted(rows, least=S.MIN_WORDS):
+def sifted(rows, least=S.MIN_WORDS, least_run=S.MIN_RUN):
+    """What is left of each row: repeats are marked, then runs of R (repeat) and s (short) units go that begin and end with R."""
     owner = {}
     norm = lambda u: " ".join(u.lower().split())
     cut = lambda t: re.findall(r"[^\n]*?(?:[.!?][ \t]+|\n)|[^\n]+", t or "")
-    late = lambda i: (i is None, i or 0)
-    for i, t in sorted(rows, key=lambda r: late(r[0])):
-        for u in cut(t):
+    late = lambda r: (r[0] is None, r[0] or 0, _hash(r[1]))
+    for r in sorted(rows, key=late):
+        for u in cut(r[1]):
             if len(u.split()) >= least:
-                owner.setdefault(norm(u), i)
+                owner.setdefault(norm(u), late(r))
     out = []
-    for i, t in rows:
-        seen, kept = set(), []
-        for u in cut(t):
-            if len(u.split()) < least or (owner[norm(u)] == i and norm(u) not in seen):
-                kept.append(u)
-                seen.add(norm(u))
-        out.append((i, "".join(kept)))
+    for r in rows:
+        seen, marks, parts = set(), "", cut(r[1])
+        for u in parts:
+            first = owner.get(norm(u)) == late(r) and norm(u) not in seen
+            seen.add(norm(u))
+            marks += "s" if len(u.split()) < least else "k" if first else "R"
+        for m in re.finditer("R(?:[Rs]*R)?", marks):
+            if sum(len(u.split()) for u in parts[m.start() : m.end()]) >= least_run:
+                marks = marks[: m.start()] + "-" * (m.end() - m.start()) + marks[m.end() :]
+        out.append((r[0], "".join(u for u, k in zip(parts, marks, strict=True) if k != "-")))
     return sorted(out, key=repr)
 
 
+@pytest.fixture(scope="module", autouse=True)
+def _hashes(spark):
+    """The hash of a text by which rows of one id rank."""
+    global _hash
+    known = {}
+
+    def _hash(t):
+        if t not in known:
+            known[t] = spark.sql("SELECT xxhash64(:t) h", {"t": t or ""}).first()["h"]
+        return known[t]
+
+
 def test_substring_dedup(frame, rng, odd):
     passage = prose(rng, 70)
     rows = [(i, prose(rng, 50)) for i in range(30)]
