@@ -62,6 +62,9 @@ def test_decontamination_against_all_pairs(spark, frame, rng, monkeypatch, odd):
     assert kept.columns == frame(rows).columns
     assert D.contaminated(frame(odd), bench.limit(0)).collect() == [] and D.contaminated(frame([]), bench).collect() == []
     assert D.clean(frame(odd), bench).count() == len(odd)
+    twice = spark.createDataFrame([(1, "one two three four"), (1, "five six seven eight nine ten eleven")], "item_id long, text string")
+    both = D.contaminated(frame([(7, "one two three four, and five six seven eight nine ten eleven")]), twice).collect()
+    assert sorted((r["n_item_words"], r["distance"], r["end_word"]) for r in both) == [(4, 0, 4), (7, 0, 12)]
 
 
 def test_lm_counts_against_brute_force(frame, rng, odd):
@@ -199,18 +202,23 @@ def test_quotes(spark):
         (1, 0, "user", "Hello there, friend.\nHow is it?"), (1, 1, "assistant", "Fine thanks"), (1, 2, "user", "> hello  THERE friend\n>> deep\nI asked"), (1, 3, "user", None),
         (1, 9, "user", "> Fine thanks\n> unknown line\n\nGood"), (1, 10, "user", "> not said"), (2, 5, "user", "> Hello there, friend."), (2, 5, "user", "> Hello there, friend."),
         (3, 2000, "user", "late > no quote"), (3, 1, "user", deep), (3, 3001, None, "> " + deep.replace("\n", "\n> ")), (None, None, None, "> x"), (None, 1, "a", ""), (4, None, "user", "odd"),
+        (5, 0, "a", "The first word of all."), (5, 1, "b", "A second one!"), (5, 2, "a", "> changed by the mailer\n>> The first word of all.\nand mine"), (5, 3, "b", ">> A second one\n> The first word of all\nyes"),
+        (5, 4, "a", "> and mine\nno"), (5, 5, "b", "nothing quoted"), (5, 6, "a", "> A second one!\n" + "long talk " * 20_000),
     ]
     df = spark.createDataFrame([(*r, "x", 1) for r in rows], "conv_id long, turn long, role string, text string, content string, k long")
     got = [tuple(r) for r in Q.link_quotes(df).collect()]
     assert len(got) == len(rows)
     by = {(r[0], r[1]): r for r in got}
-    assert by[1, 2][3:] == ("I asked", 0, True, 2, 2)
-    assert by[1, 3][3:] == ("", 2, False, 0, 0)
-    assert by[1, 9][3:] == ("Good", 1, True, 1, 1)
+    assert by[1, 2][3:8] == ("I asked", 0, True, 2, 2)
+    assert by[1, 3][3:8] == ("", 2, False, 0, 0)
+    assert by[1, 9][3:8] == ("Good", 1, True, 1, 1)
+    # a deeper quote counts where no shallower one is known; replies stand by their parents
+    assert [by[5, t][4] for t in range(7)] == [None, 0, 0, 0, 2, 4, 1]
+    assert [r[1] for r in got if r[0] == 5] == [0, 1, 2, 3, 6, 4, 5] and [r[8] for r in got if r[0] == 5] == list(range(7))
     assert by[1, 10][4:6] == (9, False) and by[1, 0][4] is None
     assert by[2, 5][4] is None and by[3, 2000][4] == 1 and by[3, 3001][4:6] == (1, True) and by[3, 2000][3] == "late > no quote"
     assert by[4, None][4] is None and by[None, 1][4] is None
-    assert [r[:2] for r in got if r[0] == 1] == [(1, t) for t in (0, 1, 2, 3, 9, 10)]
+    assert [r[:2] for r in got if r[0] == 1] == [(1, t) for t in (0, 1, 2, 9, 3, 10)]  # 9 replies to 1, 3 to 2
     assert Q.link_quotes(df.limit(0)).collect() == []
     c = duckdb.connect()
     c.sql("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
