@@ -41,10 +41,10 @@ def spent(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def in_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def in_parts(batches: Iterator[pa.RecordBatch], rows: int = PART_ROWS, size: int = PART_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in smaller batches, so that a worker's memory depends neither on a batch's rows nor on its texts' mean length."""
     for b in batches:
-        step = max(1, min(PART_ROWS, b.num_rows * PART_BYTES // max(b.nbytes, 1)))
+        step = max(1, min(rows, b.num_rows * size // max(b.nbytes, 1)))
         for i in range(0, b.num_rows, step):
             yield b.slice(i, step)
 

@@ -5,11 +5,11 @@ regions at which hashed darts are thrown: over each unit of an element's weight
 the rank axis, the same in every text that has the element; a dart also names one of k coordinates, and the earliest
 dart of a coordinate is its signature value. A text whose first throw leaves a coordinate empty throws further.
 
-Nodes that share a band meet in a bucket, but no pairs are made of a bucket. In each round a node is held against one
-other alone, by the exact weighted Jaccard similarity: of the leaders of its buckets the one that it meets in most of
-them. Links form components, the next round's leaders are those of the components, and buckets of one component are
-done. What a few rounds leave open is compared in full, so that no link between components is lost: small buckets by
-their pairs, crowded ones block by block, of which only links that join components come out.
+Nodes that share a band meet in a bucket, but no pairs are made of a bucket. First a node is held against one other
+alone, by the exact weighted Jaccard similarity: of the leaders of its buckets the one that it meets in most of them.
+Links form components, and buckets of one component are done. Those that hold more are compared in full, so that no
+link between components is lost: small buckets by their pairs, crowded ones block by block, of which only links that
+join components come out.
 """
 
 from __future__ import annotations
@@ -23,16 +23,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiflux.llm.common import durable, in_parts, ship, spent, stored, texts
+from lexiflux.llm.common import in_parts, ship, spent, stored, texts
 from lexiflux.llm.hashing import mix64, shingles, word_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 5
 #: Cells whose darts are thrown at once.
-CHUNK = 100_000
-#: Rounds in which a node meets one leader, and members of an open bucket whose pairs are made after them; a bucket of
-#: more is compared in blocks.
-ROUNDS, SMALL = 3, 8
+CHUNK = 400_000
+#: Rows and bytes of text that are signed at once.
+SIGNED = 4096, 8_000_000
+#: Members of an open bucket whose pairs are made; a bucket of more is compared in blocks.
+SMALL = 8
 #: A group of exact copies is hot from this share of all rows on, so at most 5,000 of them are.
 HOT = 1 / 5000
 #: Nodes of a crowded bucket that are compared with one another at once, twice over.
@@ -116,7 +117,7 @@ def signed(documents: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFr
     ship(documents.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in in_parts(batches):
+        for b in in_parts(batches, *SIGNED):
             nodes, sets = [], []
             for t in b.column(1):
                 words = word_hashes(t.as_py())
@@ -152,102 +153,65 @@ def components(links: DataFrame) -> DataFrame:
     """node, root for every node of the links (a, b): the least node that links lead to.
 
     Labels fall to the least among neighbours and then to the label's own label, until none changes. A node with very
-    many links is summed in tasks first, and the joins on it are of a kind that can be split.
+    many links is summed in tasks first, and the joins on it are of a kind that can be split. Tables are stored, so that
+    the sizes of small ones are known and these are joined where the others are.
     """
-    ends = durable(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = durable(ends.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root")))
+    ends = stored(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    labels = stored(ends.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root")))
     while True:
         near = ends.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("m"))
-        lower = durable(labels.join(near, "node").select("node", F.least("root", "m").alias("root"), F.col("root").alias("old")))
-        nexts = lower.join(lower.select(F.col("node").alias("root"), F.col("root").alias("further")), "root").select("node", F.least("root", "further").alias("root"), "old")
-        nexts = durable(nexts)
-        labels = nexts.select("node", "root")
-        if nexts.where(F.col("root") != F.col("old")).isEmpty():
-            return labels
-
-
-def _pair(a: str, b: str) -> list:
-    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
-
-
-class _Groups:
-    """Components of nodes, joined by the links that rounds find. labels: id, root of the nodes in a component of two or more."""
-
-    def __init__(self):
-        self.labels: DataFrame | None = None
-
-    def of(self, rows: DataFrame) -> DataFrame:
-        """rows (id, ...) with root."""
-        if self.labels is None:
-            return rows.withColumn("root", F.col("id"))
-        return rows.join(self.labels, "id", "left").withColumn("root", F.coalesce("root", "id"))
-
-    def join(self, links: DataFrame) -> None:
-        """links (a, b), at least one: their components are found among the components there are, of which each is one node."""
-        if self.labels is None:
-            found = components(links)
-            self.labels = found.select(F.col("node").alias("id"), "root")
-            return
-        for side in ("a", "b"):
-            links = self.of(links.withColumnRenamed(side, "id")).drop("id").withColumnRenamed("root", side)
-        found = components(links.where("a <> b"))
-        lower = found.select(F.col("node").alias("root"), F.col("root").alias("_lower"))
-        known = self.labels.join(lower, "root", "left").select("id", F.coalesce("_lower", "root").alias("root"))
-        # a node that stood alone until now
-        alone = found.select(F.col("node").alias("id"), "root").join(self.labels.select("id"), "id", "left_anti")
-        self.labels = durable(known.unionByName(alone))
+        lower = stored(labels.join(near, "node").select("node", F.least("node", "root", "m").alias("root"), F.col("root").alias("old")))
+        nexts = stored(lower.join(lower.select(F.col("node").alias("root"), F.col("root").alias("further")), "root").select("node", F.least("root", "further").alias("root"), "old"))
+        same = nexts.where(F.col("root") != F.col("old")).isEmpty()
+        spent(labels, lower)
+        labels = nexts
+        if same:
+            spent(ends)
+            return labels.select("node", "root")
+
+
+def _rooted(rows: DataFrame, labels: DataFrame | None, node: str = "id", root: str = "root") -> DataFrame:
+    """rows with the root of each node: its label's, or itself where it has none."""
+    if labels is None:
+        return rows.withColumn(root, F.col(node))
+    return rows.join(labels.select(F.col("node").alias(node), F.col("root").alias("_label")), node, "left").withColumn(root, F.coalesce("_label", node)).drop("_label")
 
 
 def _roots(nodes: DataFrame, documents: DataFrame, repeats: bool, least: float) -> DataFrame | None:
-    """id, root of all nodes that have a link; None if there are no links at all. nodes: id, row, keys."""
+    """node, root of all nodes that have a link; None if there are no links at all. nodes: id, row, keys."""
     members = nodes.select("id", F.explode("keys").alias("key"))
     leaders = members.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").drop("hi")
     shared = stored(members.join(leaders, "key"))
     of = stored(_texts_of(documents, nodes, shared.select("id").distinct(), repeats))
-    groups, tested = _Groups(), None
     # the leader that a node meets in most of its buckets is likeliest to be like it
-    pairs = shared.where("lo <> id").groupBy("id").agg(F.mode("lo", True).alias("to")).select(*_pair("id", "to"))
-    open_ = shared
-    for _ in range(ROUNDS):
-        pairs = durable(pairs.distinct())
-        if pairs.isEmpty():
-            break
-        links = durable(_verified(pairs, of, least))
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        if not links.isEmpty():
-            groups.join(links)
-        placed = groups.of(open_.select("key", "id"))
-        ends = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi")
-        last, open_ = open_, stored(placed.join(ends, "key"))
-        spent(last)
-        # a bucket's members meet a member of its first component, those of that component one of its last
-        heads = open_.groupBy("key").agg(F.min(F.when(F.col("root") == F.col("lo"), F.col("id"))).alias("first"), F.min(F.when(F.col("root") == F.col("hi"), F.col("id"))).alias("last"))
-        asked = open_.join(heads, "key").select("id", F.when(F.col("root") == F.col("lo"), F.col("last")).otherwise(F.col("first")).alias("to"))
-        asked = asked.groupBy("id", "to").agg(F.count(F.lit(1)).alias("times")).select("id", "times", *_pair("id", "to")).join(tested, ["a", "b"], "left_anti")
-        best = F.min(F.struct((-F.col("times")).alias("times"), "a", "b"))
-        pairs = asked.groupBy("id").agg(best.alias("best")).select("best.a", "best.b")
-    for links in _rest(open_, tested, of, least):
-        if not links.isEmpty():
-            groups.join(links)
-    spent(open_, of)
-    return groups.labels
-
-
-def _rest(open_: DataFrame, tested: DataFrame | None, of: DataFrame, least: float) -> Iterator[DataFrame]:
-    """Links between components within buckets that are still open: key, id, root, n."""
-    if "n" not in open_.columns or open_.isEmpty():
-        return
+    tested = stored(shared.where("lo <> id").groupBy("id").agg(F.mode("lo", True).alias("a")).select("a", F.col("id").alias("b")))
+    links = stored(_verified(tested, of, least))
+    labels = None if links.isEmpty() else components(links)
+    placed = _rooted(shared.select("key", "id"), labels)
+    ends = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("set")).where("lo <> hi")
     # bands with the same nodes are looked at once
-    open_ = open_.select("key", "id", "root", "n")
-    once = open_.groupBy("key").agg(F.first("n").alias("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("set")).groupBy("set", "n").agg(F.min("key").alias("key")).select("key")
-    open_ = durable(open_.join(once, "key"))
-    few = open_.where(F.col("n") <= SMALL).select("key", "id", "root")
-    other = few.select("key", F.col("id").alias("to"), F.col("root").alias("to_root"))
-    pairs = few.join(other, "key").where("id < to AND root <> to_root").select(F.col("id").alias("a"), F.col("to").alias("b")).distinct()
-    yield durable(_verified(pairs.join(tested, ["a", "b"], "left_anti"), of, least))
-    crowded = open_.where(F.col("n") > SMALL)
-    if not crowded.isEmpty():
-        yield durable(_within(crowded, of, least))
+    ends = ends.groupBy("set", "n").agg(F.min("key").alias("key")).select("key", "n")
+    open_ = stored(placed.join(ends, "key"))
+    spent(shared, links)
+    if not open_.isEmpty():
+        few = open_.where(F.col("n") <= SMALL).select("key", "id", "root")
+        other = few.select("key", F.col("id").alias("to"), F.col("root").alias("to_root"))
+        pairs = few.join(other, "key").where("id < to AND root <> to_root").select(F.col("id").alias("a"), F.col("to").alias("b")).distinct()
+        found = _verified(pairs.join(tested, ["a", "b"], "left_anti"), of, least).unionByName(_within(open_.where(F.col("n") > SMALL), of, least))
+        # components that there are count as one node each
+        found = _rooted(_rooted(found, labels, "a", "a_root"), labels, "b", "b_root").select(F.least("a_root", "b_root").alias("a"), F.greatest("a_root", "b_root").alias("b"))
+        more = stored(found.distinct())
+        if not more.isEmpty():
+            joined = components(more)
+            if labels is None:
+                labels = joined
+            else:
+                known = _rooted(labels.select(F.col("root").alias("_old"), F.col("node").alias("_node")), joined, "_old")
+                alone = joined.join(labels.select("node"), "node", "left_anti")
+                labels = stored(known.select(F.col("_node").alias("node"), "root").unionByName(alone.select("node", "root")))
+        spent(more)
+    spent(open_, of, tested)
+    return labels
 
 
 def _within(members: DataFrame, of: DataFrame, least: float) -> DataFrame:
@@ -320,7 +284,7 @@ def _classes(documents: DataFrame, least: float, bands: int, rows: int) -> tuple
     repeats = not own.groupBy("doc_id", "hash").count().where("count > 1").isEmpty()
     roots = _roots(nodes, documents, repeats, least)
     classes = nodes.select("id", "node", "row", "n")
-    classes = classes.withColumn("root", F.col("id")) if roots is None else classes.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    classes = _rooted(classes, roots)
     by_root = classes.groupBy("root").agg(F.min("row").alias("head"), F.count(F.lit(1)).alias("n_texts"), F.sum("n").alias("n_rows"))
     classes = classes.join(by_root, "root").select("node", "n", "root", F.col("head.doc_id").alias("class_id"), "head", "n_texts", "n_rows")
     out = stored(classes)
