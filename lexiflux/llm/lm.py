@@ -12,6 +12,7 @@ HEAD commonest words are sent to the workers, a bounded table; all other words a
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -30,8 +31,6 @@ from lexiflux.llm.common import ship, stored, texts
 SYMBOLS, CLASSES, CLASS_BYTES = 4096, 128, 3
 HEAD = 200_000
 DIMENSION, NOISE, BATCH, RATE = 24, 128, 1024, 0.2
-#: One training position in so many, in every text, at a phase that the text sets; 1 is every position.
-STRIDE = 1
 #: Distinct words that a task counts before it passes them on.
 FLUSH = 500_000
 #: Symbols whose parameters travel together and whose pairs are normalised at once, and tasks whose parameters are averaged at once.
@@ -143,6 +142,7 @@ class LogBilinear:
     r2: np.ndarray
     q: np.ndarray
     b: np.ndarray
+    key: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     @classmethod
     def start(cls, unigram: np.ndarray, dimension: int = DIMENSION) -> LogBilinear:
@@ -228,8 +228,11 @@ def _joined(vocab: Vocabulary, ts: list[str]) -> tuple[np.ndarray, np.ndarray, l
     return np.concatenate(places).astype(np.int64), np.concatenate(symbols).astype(np.int64), tails, np.cumsum(size) - 1
 
 
-def train(training: DataFrame, vocab: Vocabulary, dimension: int = DIMENSION, stride: int = STRIDE) -> LogBilinear:
-    """Parameters averaged over tasks, each of which trains on all its texts; one row per block of symbols reaches the driver."""
+def train(training: DataFrame, vocab: Vocabulary, dimension: int = DIMENSION) -> LogBilinear:
+    """Parameters averaged over tasks, each of which trains on all its texts; one row per block of symbols reaches the driver.
+
+    The same split of the texts into tasks gives the same parameters; another split gives others, of much the same quality.
+    """
     start = LogBilinear.start(vocab.unigram(), dimension)
     sent = training.sparkSession.sparkContext.broadcast((vocab, start))
 
@@ -243,9 +246,7 @@ def train(training: DataFrame, vocab: Vocabulary, dimension: int = DIMENSION, st
             ts = t.to_pylist()
             _, symbols, _, ends = _joined(vocab, ts)
             c2, c1 = contexts(symbols, ends)
-            phase = np.repeat([zlib.crc32(t[:64].encode("utf-8", "surrogatepass")) for t in ts], np.diff(ends, prepend=-1))
-            at = np.flatnonzero((np.arange(len(symbols)) + phase) % stride == 0)
-            at = rng.permutation(at)
+            at = rng.permutation(len(symbols))
             for i in range(0, len(at), BATCH):
                 part = at[i : i + BATCH]
                 model.train(c2[part], c1[part], symbols[part], noise, rng, grown)
@@ -257,15 +258,17 @@ def train(training: DataFrame, vocab: Vocabulary, dimension: int = DIMENSION, st
             yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int64()), pa.ListArray.from_arrays(ends, pa.array(rows.ravel())), pa.array([float(seen)] * len(parts))], ["block", "v", "n"])
 
     def average(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("task")  # sums of one order, whatever the shuffle's
         v = np.average(np.stack(pdf.v.to_numpy()), axis=0, weights=pdf.n)
-        return pd.DataFrame({"block": pdf.block[:1], "v": [v], "n": [pdf.n.sum()]})
+        return pd.DataFrame({"block": [pdf.block.iloc[0]], "v": [v], "n": [pdf.n.sum()], "task": [pdf.task.iloc[0] // GROUP]})
 
     parts = training.select("text").mapInArrow(run, "block long, v array<double>, n double")
     # a block of symbols has one row from each task; tasks meet in groups of GROUP, and these in groups again
-    parts = parts.withColumn("g", F.floor(F.spark_partition_id() / GROUP))
-    parts = parts.groupBy("block", "g").applyInPandas(lambda key, pdf: average(pdf).assign(g=key[1]), "block long, v array<double>, n double, g long")
-    parts = parts.withColumn("g", F.floor(F.col("g") / GROUP)).groupBy("block", "g").applyInPandas(lambda key, pdf: average(pdf), "block long, v array<double>, n double")
-    rows = sorted(parts.groupBy("block").applyInPandas(average, "block long, v array<double>, n double").collect())
+    schema = "block long, v array<double>, n double, task long"
+    parts = parts.withColumn("task", F.spark_partition_id().cast("long"))
+    for _ in range(2):
+        parts = parts.groupBy("block", F.floor(F.col("task") / GROUP)).applyInPandas(average, schema)
+    rows = sorted(parts.groupBy("block").applyInPandas(average, schema).collect())
     if not rows:
         return start
     d = dimension
@@ -273,16 +276,15 @@ def train(training: DataFrame, vocab: Vocabulary, dimension: int = DIMENSION, st
     return LogBilinear(v[:, :d], v[:, d : 2 * d], v[:, 2 * d : 3 * d], v[:, 3 * d])
 
 
-_TABLES: dict[bytes, tuple] = {}
+_TABLES: dict[str, tuple] = {}
 
 
 def _tables_of(model: LogBilinear) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A worker keeps the tables of the model it used last."""
-    key = model.q.tobytes()[:4096] + model.r1.tobytes()[:4096]
-    if key not in _TABLES:
+    if model.key not in _TABLES:
         _TABLES.clear()
-        _TABLES[key] = model.tables()
-    return _TABLES[key]
+        _TABLES[model.key] = model.tables()
+    return _TABLES[model.key]
 
 
 def score_texts(ts: list[str], vocab: Vocabulary, model: LogBilinear) -> tuple[list, ...]:
@@ -304,7 +306,7 @@ def score_texts(ts: list[str], vocab: Vocabulary, model: LogBilinear) -> tuple[l
     return np.diff(ends, prepend=-1), np.add.reduceat(known.astype(np.int64), first), np.add.reduceat(base, first), np.add.reduceat(logp, first), tails
 
 
-def lm_scores(documents: DataFrame, held_out: Column, head: int = HEAD, symbols: int = SYMBOLS, classes: int = CLASSES, dimension: int = DIMENSION, stride: int = STRIDE) -> DataFrame:
+def lm_scores(documents: DataFrame, held_out: Column, head: int = HEAD, symbols: int = SYMBOLS, classes: int = CLASSES, dimension: int = DIMENSION) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of documents.
 
     held_out is a condition on doc_id: such rows are scored and not learnt from. Null and empty texts are one token, the
@@ -317,7 +319,7 @@ def lm_scores(documents: DataFrame, held_out: Column, head: int = HEAD, symbols:
     training = docs.where(~F.col("held_out"))
     counts = stored(word_counts(training))
     vocab = vocabulary(counts, training.count(), head, symbols, classes)
-    model = train(training, vocab, dimension, stride)
+    model = train(training, vocab, dimension)
     sent = spark.sparkContext.broadcast((vocab, model))
     kind = dict(documents.dtypes)["doc_id"]
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, known long, base double, part double, tail array<binary>"

@@ -126,6 +126,28 @@ def test_lm_learns_from_every_position(frame, rng):
     assert all(np.allclose(getattr(got, x), getattr(want, x)) for x in ("r1", "r2", "q", "b"))
 
 
+def test_lm_score_from_the_parameters(frame, rng, odd):
+    """Each token's probability by a softmax over all symbols, and a word's share in its class by its counts."""
+    ts = [prose(rng, rng.randint(0, 60)) for _ in range(30)] + [t or "" for _, t in odd if not t or len(t) < 1000]
+    docs = frame(list(enumerate(ts)))
+    counts = {r["word"]: r["c"] for r in L.word_counts(docs).collect()}
+    vocab = L.vocabulary(L.word_counts(docs).cache(), len(ts), head=40, symbols=24, classes=4)
+    model = L.train(docs, vocab, 8)
+    n, known, base, part, tails = L.score_texts(ts, vocab, model)
+    head = {bytes(w): i for i, w in enumerate(vocab.words)}
+    for k, t in enumerate(ts):
+        words, score = L.words_of(t), 0.0
+        symbols = [1 + head[w] if head.get(w, 99) < vocab.short else vocab.class_of(w) for w in words] + [0]
+        for i, s in enumerate(symbols):
+            before, last = symbols[i - 2] if i > 1 else 0, symbols[i - 1] if i else 0
+            z = (model.r1[last] + model.r2[before]) @ model.q.T + model.b
+            score += (z[s] - z.max() - np.log(np.exp(z - z.max()).sum())) / np.log(10)
+            if s > vocab.short:
+                own = {w: c for w, c in counts.items() if vocab.class_of(w) == s and head.get(w, 99) >= vocab.short}
+                score += math.log10((counts[words[i]] + 1) / (sum(own.values()) + len(own) + 1))
+        assert n[k] == len(symbols) and abs(part[k] + sum(math.log10(counts[w] + 1) for w in tails[k]) - score) < 1e-3 * len(symbols)
+
+
 def test_lm_symbols_grow_with_the_vocabulary(spark):
     for n, own in ((50, 50), (3000, 3000), (9000, L.SYMBOLS - L.CLASSES - 1)):
         counts = spark.createDataFrame([(b"w%d" % i, 1 + n // (i + 1)) for i in range(n)], "word binary, c long").cache()
@@ -137,7 +159,7 @@ def test_lm_beats_its_base_on_held_out_texts(frame):
     rng = random.Random(8)
     sides = [[prose(rng, 1).strip(".") + x for _ in range(60)] for x in "ab"]  # two languages
     rows = [(i, " ".join(rng.choice(sides[i % 2]) for _ in range(60))) for i in range(400)]
-    got = [r for r in L.lm_scores(frame(rows), fold(7) == 2, symbols=128, classes=8, stride=1).collect() if r["held_out"]]
+    got = [r for r in L.lm_scores(frame(rows), fold(7) == 2, symbols=128, classes=8).collect() if r["held_out"]]
     assert len(got) > 30 and sum(r["score"] for r in got) > 0.97 * sum(r["base_score"] for r in got)
 
 
