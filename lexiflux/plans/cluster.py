@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -18,7 +21,9 @@ def ship(spark: SparkSession) -> None:
     if sc.getLocalProperty(_SHIPPED):
         return
     package = Path(__file__).resolve().parent.parent
-    out = Path(tempfile.mkdtemp(prefix="lexiflux-")) / "lexiflux_code.zip"
+    own = tempfile.mkdtemp(prefix="lexiflux-")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)  # executors may fetch it until the driver ends
+    out = Path(own) / "lexiflux_code.zip"
     with zipfile.ZipFile(out, "w") as z:
         for p in sorted(package.rglob("*.py")):
             z.write(p, p.relative_to(package.parent))
@@ -27,10 +32,13 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder that the cluster names; a temporary one only where none is set, as in tests."""
+    """The checkpoint folder that the cluster names; a temporary one only where none is set and all runs on one machine."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or os.path.join(tempfile.gettempdir(), "checkpoints", "lexiflux"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "checkpoints", "lexiflux"))
     return sc.getCheckpointDir()
 
 
