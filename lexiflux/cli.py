@@ -79,6 +79,7 @@ class Scored:
         compiled = compile_terms(self.terms, vocab)
         for t, error in compiled.errors.items():
             print(f"skipped {self.terms[t].label}: {error}", file=sys.stderr)
+        self.errors = compiled.errors
         self.docs, self.frame = docs, terms_frame(spark, self.terms)
         self.raw = match.spans(docs, compiled)
         self.kept = overlap.resolve(self.raw)
@@ -87,7 +88,9 @@ class Scored:
         self.rollup = company.decorated(company.rollup(docs, self.counted, self.frame, args.sources), dim)
 
     def added(self) -> list[dict]:
-        return _dicts(sparse.added_word_stats(self.raw, self.kept, self.frame)) if any(t.extra for t in self.terms) else []
+        """What each added word brings; a row has an error only where the word could not be used."""
+        rows = _dicts(sparse.added_word_stats(self.raw, self.kept, self.frame, self.errors)) if any(t.extra for t in self.terms) else []
+        return [{k: v for k, v in r.items() if k != "error" or v} for r in rows]
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> None:
@@ -117,6 +120,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         found = match.spans(docs, compiled)
         _emit(args, {"term": args.term, "total_hits": found.count(), "top": _dicts(kwic.by_symbol(found, docs, args.top)), "examples": _dicts(kwic.concordance(found, docs, args.examples))})
     elif args.command == "terms":
+        if not args.lexicon:
+            sys.exit("terms needs --lexicon")
         terms = readers.lexicon(spark, args.lexicon)
         _emit(args, {"terms": [vars(t) for t in terms], "tiers": [{"tier": t, "n": sum(x.tier == t for x in terms)} for t in TIERS]})
     elif args.command == "export":
@@ -124,8 +129,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         if args.by == "company":
             sinks.write_csv(s.rollup, args.out)
         else:
-            rows = score.percentile(score.doc_rows(s.docs, s.counted, s.frame).join(score.top_terms(s.counted, s.frame, "doc_id"), "doc_id", "left"))
-            sinks.write_csv(rows.join(s.docs.select("doc_id", "file"), "doc_id"), args.out)
+            names = s.docs.groupBy("symbol").agg(F.max("company").alias("company"))
+            sinks.write_csv(score.full_rows(s.docs, s.counted, s.frame, names), args.out)
 
 
 if __name__ == "__main__":

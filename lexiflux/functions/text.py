@@ -18,6 +18,7 @@ UNITS = (
 # Characters that join two words, beside ASCII white space: hyphen, apostrophes, dashes, ampersand.
 JOINERS = "-'‐‑‒–—―’&"
 
+# What counts as a number, a word, a year and a token.
 NUMBER = r"\d[\d,]*(?:\.\d+)?"
 WORD = r"[a-z][a-z'-]*"
 YEAR = r"\b(?:19|20)\d{2}\b"
@@ -73,16 +74,9 @@ def year_count(normal: Column) -> Column:
 
 def tokens(normal: Column) -> Column:
     """Runs of letters, digits and underscores, with one barrier for each gap between two of them that holds anything but joiners."""
-    marked = F.regexp_replace(normal, f"[^a-z0-9_{_JOINED}]+", BARRIER)
-    found = F.transform(F.regexp_extract_all(marked, F.lit("[a-z0-9_]+|@[^a-z0-9_]*"), F.lit(0)), lambda x: F.when(x.startswith(BARRIER), BARRIER).otherwise(x))
-    return trimmed(found)
-
-
-def trimmed(found: Column) -> Column:
-    """Without a barrier at either end."""
-    head = F.when(F.try_element_at(found, F.lit(1)) == BARRIER, 1).otherwise(0)
-    tail = F.when((F.try_element_at(found, F.lit(-1)) == BARRIER) & (F.size(found) > 1), 1).otherwise(0)
-    return F.slice(found, head + 1, F.greatest(F.size(found) - head - tail, F.lit(0)))
+    marked = F.regexp_replace(normal, f"[^a-z0-9_{_JOINED}][^a-z0-9_]*", BARRIER)
+    inner = F.regexp_replace(marked, "^[^a-z0-9_]+|[^a-z0-9_]+$", "")  # no barrier at either end
+    return F.regexp_extract_all(inner, F.lit(f"[a-z0-9_]+|{BARRIER}"), F.lit(0))
 
 
 def per_thousand(hits: Column, words: Column) -> Column:

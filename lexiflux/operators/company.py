@@ -51,6 +51,14 @@ def rollup(docs: DataFrame, counted: DataFrame, terms: DataFrame, sources: str =
     )
 
 
+def all_terms(docs: DataFrame, counted: DataFrame, terms: DataFrame, sources: str = "auto") -> DataFrame:
+    """symbol, all_terms: every term that a company's chosen documents use, with its hits, most first."""
+    used = chosen(docs, sources)
+    by_term = counted.join(used.select("doc_id", "symbol"), "doc_id").groupBy("symbol", "term_id").agg(F.sum("n").alias("n"))
+    found = top_terms(by_term, terms, "symbol", None)
+    return used.select("symbol").distinct().join(found, "symbol", "left").select("symbol", F.coalesce("top_terms", F.lit("")).alias("all_terms"))
+
+
 def files(docs: DataFrame, sources: str = "auto") -> DataFrame:
     """symbol, file of the documents that count, one row each: a company's list is never gathered in one place."""
     return chosen(docs, sources).select("symbol", "doc_id", "file")

@@ -11,7 +11,8 @@ import unicodedata
 from dataclasses import dataclass, field
 from itertools import product
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 try:
     from re import _constants as C
@@ -20,6 +21,7 @@ except ImportError:  # before Python 3.11
     import sre_constants as C
     import sre_parse as parser
 
+# The tiers, and the limits of an expansion.
 TIERS = ("puffery", "hedge", "corporate", "esg_jargon")
 WEIGHTS = dict.fromkeys(TIERS, 1.0)
 MAX_STRINGS, MAX_RANGE, MAX_WILDCARD = 4000, 65, 20_000
@@ -129,13 +131,25 @@ def compile_terms(terms: list[Term], vocabulary: DataFrame | None = None) -> Com
     """Expands every term; a term that cannot be expanded is left out and reported.
 
     Only plain queries with '*' need the vocabulary (token, corpus_freq): the words that fit, at most MAX_WILDCARD of
-    each alternative, come to the driver, one small job for each.
+    each alternative, come to the driver, in one job for all.
     """
     places, errors, before, after, longest, variant = [], {}, {}, {}, 1, 0
+    wild = sorted({a for t in terms if t.syntax == "plain" for alternatives in plain_words(t.pattern) for a in alternatives if "*" in a})
+    fitting = _fitting(wild, vocabulary) if wild and vocabulary is not None else {}
+
+    def words_for(alternative: str) -> list[str]:
+        if "*" not in alternative:
+            return [alternative]
+        if vocabulary is None:
+            raise PatternError("a wildcard needs a vocabulary")
+        if len(fitting[alternative]) > MAX_WILDCARD:
+            raise PatternError(f"fits more than {MAX_WILDCARD} words")
+        return fitting[alternative]
+
     for t, term in enumerate(terms):
         try:
             if term.syntax == "plain":
-                sets = [[w for a in alternatives for w in _fitting(a, vocabulary)] for alternatives in plain_words(term.pattern)]
+                sets = [[w for a in alternatives for w in words_for(a)] for alternatives in plain_words(term.pattern)]
                 variants = [tuple(tuple(dict.fromkeys(s)) for s in sets)] if sets and all(sets) else []
             else:
                 e = expand(term.pattern)
@@ -152,15 +166,16 @@ def compile_terms(terms: list[Term], vocabulary: DataFrame | None = None) -> Com
     return Compiled(places, {t: s for t, s in before.items() if s}, {t: s for t, s in after.items() if s}, errors, longest)
 
 
-def _fitting(alternative: str, vocabulary: DataFrame | None) -> list[str]:
-    if "*" not in alternative:
-        return [alternative]
-    if vocabulary is None:
-        raise PatternError("a wildcard needs a vocabulary")
-    rows = vocabulary.where(vocabulary["token"].rlike(plain_regex(alternative))).select("token").orderBy("token").limit(MAX_WILDCARD + 1).collect()
-    if len(rows) > MAX_WILDCARD:
-        raise PatternError(f"fits more than {MAX_WILDCARD} words")
-    return [r["token"] for r in rows]
+def _fitting(alternatives: list[str], vocabulary: DataFrame) -> dict[str, list[str]]:
+    """The words that fit each alternative, in order; of those that MAX_WILDCARD does not hold one more word than that."""
+    fits = F.array_compact(F.array(*(F.when(F.col("token").rlike(plain_regex(a)), F.lit(i)) for i, a in enumerate(alternatives))))
+    rows = vocabulary.select("token", F.explode_outer(fits).alias("i")).where("i IS NOT NULL")
+    # ranked in tasks first, so that no alternative's words meet in one task but for those that are kept
+    rows = rows.withColumn("k", F.row_number().over(Window.partitionBy("i").orderBy("token"))).where(F.col("k") <= MAX_WILDCARD + 1)
+    out: dict[str, list[str]] = {a: [] for a in alternatives}
+    for r in sorted(rows.select("i", "token").collect()):
+        out[alternatives[r["i"]]].append(r["token"])
+    return out
 
 
 def with_added(lexicon: list[Term], added: list[str], only_added: bool = False, tier: str = "puffery") -> list[Term]:

@@ -9,11 +9,12 @@ from lexiflux.operators.lexicon import Compiled
 
 
 def spans(docs: DataFrame, compiled: Compiled, key: str = "doc_id", tokens: str = "toks") -> DataFrame:
-    """key, start, end, len, term_id: every occurrence of every variant, overlaps included; places count from 0 in a document.
+    """key, start, end, len, term_id, words: every occurrence of every variant, overlaps included; places count from 0 in a document.
 
     Each token is a row with the tokens after it, as many as the longest variant has words; the token array itself is
     not carried along. The lexicon's places are broadcast: they are a driver-side list. The first word is joined, the
-    others only filter what it left.
+    others only filter what it left. words, the tokens of the span, travel with it. The generator is the outer one: of
+    the other Spark would infer a filter on the size of the array, and make the tokens a second time for it.
     """
     spark = docs.sparkSession
     n_before = max((len(s) for ss in compiled.before.values() for s in ss), default=0)
@@ -24,7 +25,7 @@ def spans(docs: DataFrame, compiled: Compiled, key: str = "doc_id", tokens: str
     columns += [F.concat(F.array_repeat(F.lit(None).cast("string"), i), tokens) for i in range(1, n_before + 1)]
     names = [f"t{i}" for i in range(wide)] + [f"b{i}" for i in range(1, n_before + 1)]
     zipped = F.arrays_zip(*(c.alias(n) for c, n in zip(columns, names, strict=True)))
-    rows = docs.select(key, F.posexplode(zipped).alias("start", "w")).select(key, "start", *(F.col("w")[n].alias(n) for n in names)).where("t0 IS NOT NULL")
+    rows = docs.select(key, F.posexplode_outer(zipped).alias("start", "w")).select(key, "start", *(F.col("w")[n].alias(n) for n in names)).where("t0 IS NOT NULL")
     places = spark.createDataFrame(compiled.places, "term_id int, variant int, pos int, tok string, len int")
     hits = rows.join(F.broadcast(places.where("pos = 0").drop("pos").withColumnRenamed("tok", "t0")), "t0")
     for i in range(1, compiled.longest):
@@ -42,9 +43,10 @@ def spans(docs: DataFrame, compiled: Compiled, key: str = "doc_id", tokens: str
                 for m in meets[1:]:
                     together = together & m
                 hits = hits.where((F.col("term_id") != term) | ~F.coalesce(together, F.lit(False)))
-    return hits.select(key, "start", (F.col("start") + F.col("len")).alias("end"), "len", "term_id")
+    words = F.slice(F.array(*(F.col(f"t{i}") for i in range(compiled.longest))), F.lit(1), F.col("len"))
+    return hits.select(key, "start", (F.col("start") + F.col("len")).alias("end"), "len", "term_id", words.alias("words"))
 
 
 def vocabulary(docs: DataFrame, tokens: str = "toks") -> DataFrame:
     """token, corpus_freq; barriers have a row as well."""
-    return docs.select(F.explode(tokens).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("corpus_freq"))
+    return docs.select(F.explode_outer(tokens).alias("token")).where("token IS NOT NULL").groupBy("token").agg(F.count(F.lit(1)).alias("corpus_freq"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def resolve(spans: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The spans (key, start, end, len, term_id) that are kept.
+    """The spans (key, start, end, len, term_id, and words where there are any) that are kept.
 
     Spans fall into islands, between which nothing overlaps: a span starts one if no earlier span reaches past its
     start. Only inside an island is the greedy choice made, by a fold over its few spans; a document of many spans is
@@ -17,7 +17,8 @@ def resolve(spans: DataFrame, key: str = "doc_id") -> DataFrame:
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     marked = spans.withColumn("_new", (reach.isNull() | (F.col("start") >= reach)).cast("int"))
     marked = marked.withColumn("_island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    islands = marked.groupBy(key, "_island").agg(F.array_sort(F.collect_list(F.struct("start", (-F.col("len")).alias("neg"), "term_id", "end"))).alias("s"))
+    with_words = ["words"] if "words" in spans.columns else []
+    islands = marked.groupBy(key, "_island").agg(F.array_sort(F.collect_list(F.struct("start", (-F.col("len")).alias("neg"), "term_id", "end", *with_words))).alias("s"))
 
     def choose(state, x):
         take = x["start"] >= state["upto"]
@@ -26,4 +27,4 @@ def resolve(spans: DataFrame, key: str = "doc_id") -> DataFrame:
     empty = F.struct(F.lit(-1).alias("upto"), F.filter("s", lambda x: F.lit(False)).alias("kept"))
     kept = F.when(F.size("s") == 1, F.col("s")).otherwise(F.aggregate("s", empty, choose, lambda state: state["kept"]))
     out = islands.select(key, F.explode(kept).alias("x"))
-    return out.select(key, "x.start", "x.end", (-F.col("x.neg")).alias("len"), "x.term_id")
+    return out.select(key, "x.start", "x.end", (-F.col("x.neg")).alias("len"), "x.term_id", *(f"x.{w}" for w in with_words))

@@ -16,34 +16,40 @@ from pyspark.sql import functions as F
 from lexiflux.operators.lexicon import PatternError, Term
 from lexiflux.plans.cluster import ship
 
-#: Terms in one alternation.
-CHUNK = 90
 
-
-def alternations(terms: list[Term]) -> list[str]:
-    """Alternations of up to CHUNK terms, each a group named after its place; the longest pattern is tried first."""
+def finders(terms: list[Term]) -> list[re.Pattern]:
+    """A pattern between word borders for each term, in the terms' order."""
+    out = []
     for t in terms:
         try:
-            re.compile(t.pattern)
+            out.append(re.compile(rf"\b(?:{t.pattern})\b"))
         except re.error as e:
             raise PatternError(f"{t.label}: {e}") from e
-    by_length = sorted(enumerate(terms), key=lambda x: -len(x[1].pattern))
-    named = [rf"(?P<t{i}>\b(?:{t.pattern})\b)" for i, t in by_length]
-    return ["|".join(named[i : i + CHUNK]) for i in range(0, len(named), CHUNK)]
+    return out
+
+
+def _found(text: str, patterns: list[re.Pattern]) -> Iterator[tuple[int, int, int]]:
+    """(start, end, term) of each term's own matches, which may overlap those of other terms."""
+    for term, p in enumerate(patterns):
+        for m in p.finditer(text):
+            if m.end() > m.start():
+                yield m.start(), m.end(), term
 
 
 def scanned_spans(docs: DataFrame, terms: list[Term]) -> DataFrame:
-    """doc_id, start, end, len, term_id over docs (doc_id, norm); a null text has none."""
+    """doc_id, start, end, len, term_id over docs (doc_id, norm); a null text has none. Which of overlapping spans counts is for overlap.resolve to say."""
     ship(docs.sparkSession)
-    patterns = alternations(terms)
+    patterns = finders(terms)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compiled = [re.compile(p) for p in patterns]
         for b in batches:
-            found = [(i, *m.span(), int(m.lastgroup[1:])) for i, t in enumerate(b.column(1).to_pylist()) for c in compiled for m in c.finditer(t or "") if m.end() > m.start()]
-            row, start, end, term = zip(*found, strict=True) if found else [()] * 4
-            n = [e - s for s, e in zip(start, end, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int64())), *(pa.array(x, pa.int32()) for x in (start, end, n, term))], ["doc_id", "start", "end", "len", "term_id"])
+            rows, spans = [], []
+            for i, t in enumerate(b.column(1)):
+                for start, end, term in _found(t.as_py() or "", patterns):
+                    rows.append(i)
+                    spans.append((start, end, end - start, term))
+            columns = zip(*spans, strict=True) if spans else [()] * 4
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), *(pa.array(x, pa.int32()) for x in columns)], ["doc_id", "start", "end", "len", "term_id"])
 
     return docs.select("doc_id", "norm").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, start int, end int, len int, term_id int")
 

@@ -52,8 +52,23 @@ def percentile(rows: DataFrame, metric: str = "buzzwords_per_1000_words", tie: s
     return placed.withColumn("density_percentile", share).drop("place", "n_rows")
 
 
-def top_terms(counted: DataFrame, terms: DataFrame, by: str, k: int = TOP_DOC) -> DataFrame:
-    """by, top_terms: 'label:hits; ...' of the k terms with most hits, equal counts in order of the lexicon."""
+def full_rows(docs: DataFrame, counted: DataFrame, terms: DataFrame, companies: DataFrame) -> DataFrame:
+    """doc_rows with file, company (blank where unknown), top_terms and density_percentile, densest first; ties go by file.
+
+    docs: as for doc_rows, with file; companies: symbol, company.
+    """
+    names = companies.select("symbol", F.col("company").alias("_company"))
+    rows = doc_rows(docs, counted, terms).join(docs.select("doc_id", "file"), "doc_id").join(names, "symbol", "left").join(top_terms(counted, terms, "doc_id"), "doc_id", "left")
+    rows = rows.withColumn("company", F.coalesce("_company", F.lit(""))).withColumn("top_terms", F.coalesce("top_terms", F.lit(""))).drop("_company")
+    return percentile(rows, tie="file").orderBy(F.col("buzzwords_per_1000_words").desc(), "file")
+
+
+def top_terms(counted: DataFrame, terms: DataFrame, by: str, k: int | None = TOP_DOC) -> DataFrame:
+    """by, top_terms: 'label:hits; ...' of the k terms with most hits (all if k is None), equal counts in order of the lexicon."""
+    if k is None:  # as many as the lexicon has at most
+        t = counted.join(F.broadcast(terms.select("term_id", "label")), "term_id")
+        t = t.groupBy(by).agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("_k"), "term_id", "label", "n"))).alias("top"))
+        return t.select(by, F.array_join(F.transform("top", lambda x: F.concat(x["label"], F.lit(":"), x["n"].cast("string"))), "; ").alias("top_terms"))
     order = Window.partitionBy(by).orderBy(F.col("n").desc(), "term_id")
     t = counted.join(F.broadcast(terms.select("term_id", "label")), "term_id").withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= k)
     t = t.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("_k", "label", "n"))).alias("top"))

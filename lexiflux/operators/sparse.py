@@ -31,23 +31,36 @@ def word_vectors(docs: DataFrame, kept: DataFrame, used: DataFrame, slot: DataFr
     """token, c, n, overlap for words of 3 to 20 letters with at least min_hits in the corpus.
 
     c counts all places in documents that count, n those outside kept spans (null where all are), overlap the
-    difference. docs: doc_id, toks.
+    difference. docs: doc_id, toks; kept: with the words of each span. Words are counted by company in tasks first; no
+    single place of a word is shuffled.
+    """
+    letters = F.col("token").rlike("^[a-z]{3,20}$")
+    slotted = used.join(slot, "symbol").select("doc_id", "slot")
+    # a document that does not count has no slot; its words count for how often a word occurs
+    tokens = docs.select("doc_id", "toks").join(slotted, "doc_id", "left").select("slot", F.explode_outer("toks").alias("token")).where(letters)
+    all_ = tokens.groupBy("token", "slot").agg(F.count(F.lit(1)).alias("n"), F.lit(0).cast("long").alias("taken"))
+    claimed = kept.select("doc_id", F.explode_outer("words").alias("token")).where(letters).join(slotted, "doc_id")
+    claimed = claimed.groupBy("token", "slot").agg(F.lit(0).cast("long").alias("n"), F.count(F.lit(1)).alias("taken"))
+    per = all_.unionByName(claimed).groupBy("token", "slot").agg(F.sum("n").alias("n"), F.sum("taken").alias("taken"))
+    here = F.when(F.col("slot").isNotNull(), F.struct("slot", "n"))
+    free = F.when(F.col("slot").isNotNull() & (F.col("n") > F.col("taken")), F.struct("slot", (F.col("n") - F.col("taken")).alias("n")))
+    out = per.groupBy("token").agg(hex_pairs(F.collect_list(here)).alias("c"), hex_pairs(F.collect_list(free)).alias("free"), F.sum("taken").alias("overlap"), F.sum("n").alias("_all"), F.count("slot").alias("_slots"))
+    return out.where((F.col("_all") >= min_hits) & (F.col("_slots") > 0)).select("token", "c", F.when(F.col("overlap") > 0, F.col("free")).alias("n"), "overlap")
+
+
+def added_word_stats(raw: DataFrame, kept: DataFrame, terms: DataFrame, errors: dict[int, str] | None = None) -> DataFrame:
+    """term, corpus_hits, new_hits, already_counted for each added word: all its occurrences, those it adds, and the rest.
+
+    With the errors of the compiled terms there is a column error as well: why a word was left out, null where it was not.
     """
-    tokens = docs.select("doc_id", F.posexplode("toks").alias("pos", "token")).where(F.col("token").rlike("^[a-z]{3,20}$"))
-    often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_hits).select("token")
-    here = tokens.join(used.join(slot, "symbol").select("doc_id", "slot"), "doc_id").join(often, "token")
-    claimed = kept.select("doc_id", F.explode(F.sequence("start", F.col("end") - 1)).alias("pos"), F.lit(1).alias("taken"))
-    marked = here.join(claimed, ["doc_id", "pos"], "left")
-    per = marked.groupBy("token", "slot").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("taken").isNull(), 1).otherwise(0)).alias("free"))
-    free = F.filter(F.collect_list(F.struct("slot", F.col("free").alias("n"))), lambda p: p["n"] > 0)
-    out = per.groupBy("token").agg(hex_pairs(F.collect_list(F.struct("slot", "n"))).alias("c"), hex_pairs(free).alias("free"), F.sum(F.col("n") - F.col("free")).alias("overlap"))
-    return out.select("token", "c", F.when(F.col("overlap") > 0, F.col("free")).alias("n"), "overlap")
-
-
-def added_word_stats(raw: DataFrame, kept: DataFrame, terms: DataFrame) -> DataFrame:
-    """term, corpus_hits, new_hits, already_counted for each added word: all its occurrences, those it adds, and the rest."""
     mine = F.broadcast(terms.where("extra").select("term_id", F.col("label").alias("term")))
     found = raw.groupBy("term_id").agg(F.count(F.lit(1)).alias("corpus_hits"))
     new = kept.groupBy("term_id").agg(F.count(F.lit(1)).alias("new_hits"))
     rows = mine.join(found, "term_id", "left").join(new, "term_id", "left").fillna(0, ["corpus_hits", "new_hits"])
-    return rows.select("term", "corpus_hits", "new_hits", (F.col("corpus_hits") - F.col("new_hits")).alias("already_counted"))
+    why = []
+    if errors is not None:
+        said = F.lit(None).cast("string")
+        for term, message in errors.items():
+            said = F.when(F.col("term_id") == term, F.lit(message)).otherwise(said)
+        why = [said.alias("error")]
+    return rows.select("term", "corpus_hits", "new_hits", (F.col("corpus_hits") - F.col("new_hits")).alias("already_counted"), *why)

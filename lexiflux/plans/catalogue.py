@@ -133,6 +133,14 @@ def company_top_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rollup(spark, sf_dir).select("symbol", "top_terms")
 
 
+def doc_full_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score.full_rows(stats(spark, sf_dir), counted(spark, sf_dir), terms_frame(spark, LEXICON), companies(spark, sf_dir))
+
+
+def company_all_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return company.all_terms(stats(spark, sf_dir), counted(spark, sf_dir), terms_frame(spark, LEXICON))
+
+
 def _sources(policy: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: _rollup(spark, sf_dir, policy)
 
@@ -146,8 +154,7 @@ def board_metric_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _rows(spark, sf_dir)
     rare = F.nullif(F.floor(F.col("quantity_hits") * F.col("total_words") / 500), F.lit(0))
     value = F.round(F.col("buzzword_hits").cast("double") / rare, 3)
-    ordered = rows.select("doc_id", value.alias("per_figure")).orderBy(F.coalesce("per_figure", F.lit(-1)).desc(), "doc_id")
-    return ordered.limit(300)
+    return rows.select("doc_id", value.alias("per_figure")).orderBy(F.coalesce("per_figure", F.lit(-1)).desc(), "doc_id")
 
 
 def lookup_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -243,7 +250,7 @@ def lexicon_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        term_density_by_source, doc_stats, token_vocab, raw_term_hits, resolved_term_counts, doc_scores, doc_percentile, tier_pivot, doc_top_terms, company_top_terms,
+        term_density_by_source, doc_stats, token_vocab, raw_term_hits, resolved_term_counts, doc_scores, doc_percentile, tier_pivot, doc_top_terms, company_top_terms, doc_full_rows, company_all_terms,
         company_board, board_metric_nulls, lookup_rank, resolve_company, find_by_symbol, concordance, wildcard_terms, lookaround_terms, added_word_stats, quintile, scan_agreement,
         page_clean_lines, page_dedup_nav, page_min_words, page_parsed, sparse_vectors, unclaimed_words, todo_antijoin, docs_by_kind, lexicon_tiers,
     )

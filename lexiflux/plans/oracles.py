@@ -136,7 +136,12 @@ raw AS (
         "doc_percentile": _with(_DOCS, _CANON, _COUNTED, _LEXICON, _ROWS, select="SELECT doc_id, buzzwords_per_1000_words, CASE WHEN count(*) OVER () > 1 THEN round(100.0::DOUBLE * (row_number() OVER (ORDER BY buzzwords_per_1000_words, doc_id) - 1) / (count(*) OVER () - 1), 1) ELSE 0.0::DOUBLE END AS density_percentile FROM rows"),
         "tier_pivot": _with(_DOCS, _CANON, _COUNTED, _LEXICON, select=f"SELECT doc_id, {_TIER_SUMS} FROM counted JOIN lexicon USING (term_id) GROUP BY doc_id"),
         "doc_top_terms": _with(_DOCS, _CANON, _COUNTED, _LEXICON, select="SELECT doc_id, string_agg(label || ':' || n, '; ' ORDER BY k) AS top_terms FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, term_id) AS k FROM counted JOIN lexicon USING (term_id)) WHERE k <= 3 GROUP BY doc_id"),
-        "board_metric_nulls": _with(_DOCS, _CANON, _COUNTED, _LEXICON, _ROWS, select="SELECT doc_id, per_figure FROM (SELECT doc_id, round(CAST(buzzword_hits AS DOUBLE) / nullif(floor(quantity_hits * total_words / 500::DOUBLE), 0), 3) AS per_figure FROM rows) ORDER BY coalesce(per_figure, -1) DESC, doc_id LIMIT 300"),
+        "board_metric_nulls": _with(_DOCS, _CANON, _COUNTED, _LEXICON, _ROWS, select="SELECT doc_id, per_figure FROM (SELECT doc_id, round(CAST(buzzword_hits AS DOUBLE) / nullif(floor(quantity_hits * total_words / 500::DOUBLE), 0), 3) AS per_figure FROM rows) ORDER BY coalesce(per_figure, -1) DESC, doc_id"),
+        "doc_full_rows": _with(_DOCS, _CANON, _COUNTED, _LEXICON, _ROWS, """
+best AS (SELECT doc_id, string_agg(label || ':' || n, '; ' ORDER BY k) AS top_terms FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, term_id) AS k FROM counted JOIN lexicon USING (term_id)) WHERE k <= 10 GROUP BY doc_id)""", select="""
+SELECT r.*, d.file, 'Company ' || substr(r.symbol, 4) AS company, coalesce(b.top_terms, '') AS top_terms,
+  CASE WHEN count(*) OVER () > 1 THEN round(100.0::DOUBLE * (row_number() OVER (ORDER BY r.buzzwords_per_1000_words, d.file) - 1) / (count(*) OVER () - 1), 1) ELSE 0.0::DOUBLE END AS density_percentile
+FROM rows r JOIN docs d USING (doc_id) LEFT JOIN best b USING (doc_id)"""),
         "find_by_symbol": _with(_DOCS, _CANON, _STREAM, select="SELECT symbol, count(*) AS hits FROM wide JOIN src USING (doc_id) WHERE t0 IN ('in', 'of') AND t1 = 'the' GROUP BY symbol ORDER BY hits DESC, symbol LIMIT 15"),
         "wildcard_terms": _with(_DOCS, _CANON, _STREAM, select="SELECT doc_id, term_id, count(*) AS n FROM (SELECT doc_id, 0 AS term_id FROM wide WHERE regexp_full_match(t0, 'th[a-z0-9]*ing') UNION ALL SELECT doc_id, 1 FROM wide WHERE t0 IN ('the', 'this') AND regexp_full_match(t1, 'th[a-z0-9]*')) GROUP BY ALL"),
         "lookaround_terms": _with(_DOCS, _CANON, _STREAM, select="SELECT doc_id, term_id, count(*) AS n FROM (SELECT doc_id, 0 AS term_id FROM wide WHERE t0 = 'the' AND coalesce(b1, '') <> 'of' AND NOT (coalesce(b2, '') = 'and' AND coalesce(b1, '') = 'in') UNION ALL SELECT doc_id, 1 FROM wide WHERE t0 = 'and' AND coalesce(t1, '') <> 'the' AND NOT (coalesce(t1, '') = 'of' AND coalesce(t2, '') = 'that')) GROUP BY ALL"),
@@ -173,6 +178,7 @@ SELECT t0 AS token, string_agg(printf('%x', slot) || ':' || printf('%x', n), ','
         out[f"sources_{policy}"] = _with(*chain, _used(policy), _COMPANIES, select="SELECT * FROM companies")
     auto = (*chain, _used("auto"), _COMPANIES)
     out["company_top_terms"] = _with(*auto, select="SELECT symbol, top_terms FROM companies")
+    out["company_all_terms"] = _with(*auto, select="SELECT symbol, coalesce(t.all_terms, '') AS all_terms FROM base LEFT JOIN (SELECT symbol, string_agg(label || ':' || n, '; ' ORDER BY n DESC, term_id) AS all_terms FROM by_term JOIN lexicon USING (term_id) GROUP BY symbol) t USING (symbol)")
     out["company_board"] = _with(*auto, select="SELECT symbol, 'Company ' || substr(symbol, 4) AS company, symbol || '.example' AS website, 'sector ' || (CAST(substr(symbol, 4) AS INT) % 3) AS sector, total_words, buzzword_hits, buzzwords_per_1000_words FROM companies WHERE total_words >= 2000 ORDER BY buzzwords_per_1000_words DESC, symbol LIMIT 10")
     out["lookup_rank"] = _with(*auto, select="""
 SELECT symbol, total_words, buzzwords_per_1000_words, rank, of FROM companies LEFT JOIN (SELECT symbol, row_number() OVER (ORDER BY buzzwords_per_1000_words DESC, symbol) AS rank, count(*) OVER () AS of FROM companies WHERE total_words >= 2000) USING (symbol)""")

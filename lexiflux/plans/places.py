@@ -13,9 +13,9 @@ def ranked(df: DataFrame, *order: Column) -> DataFrame:
 
     Rows are range-sorted; a partition adds the number of rows before it, which takes one row for each partition. The
     sorted rows are made durable, for a second sort could cut its ranges elsewhere. Rows that are equal in the order
-    have places next to one another.
+    have places next to one another. df is made durable as well, for the sort reads it twice: to cut ranges, and to sort.
     """
-    ordered = durable(df.orderBy(*order).withColumn("_part", F.spark_partition_id()))
+    ordered = durable(durable(df).orderBy(*order).withColumn("_part", F.spark_partition_id()))
     sizes = ordered.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.withColumn("_ahead", F.coalesce(F.sum("_n").over(before), F.lit(0))).withColumn("n_rows", F.sum("_n").over(Window.partitionBy())).drop("_n")

@@ -13,13 +13,14 @@ from lexiflux.plans.places import ranked
 def build(docs: DataFrame, path: str, composed: bool = True, fixed: bool = False) -> None:
     """Writes docs_tokens and vocab under path. docs: file, text, symbol, doc_kind, doc_num and, if known, company.
 
-    One pass over the texts; the only shuffles are those of the vocabulary. Readers prune columns: statistics are read
-    without tokens.
+    doc_id is a file's place in the order of files, so that equal scores rank in that order. The texts meet their ids in
+    one join; the other shuffles are those of the vocabulary. Readers prune columns: statistics are read without tokens.
     """
     docs = docs.withColumn("company", F.col("company") if "company" in docs.columns else F.lit(""))
-    n = docs.withColumn("norm", X.normalise(F.col("text"), composed))
+    ids = ranked(docs.select("file").distinct(), F.col("file")).select("file", F.col("place").alias("doc_id"))
+    n = docs.join(ids, "file").withColumn("norm", X.normalise(F.col("text"), composed))
     norm = F.col("norm")
-    out = n.select(F.xxhash64("file").alias("doc_id"), "file", "symbol", "company", "doc_kind", "doc_num", X.word_count(norm).alias("n_words"), X.quantity_count(norm, fixed).alias("quantity_hits"),
+    out = n.select("doc_id", "file", "symbol", "company", "doc_kind", "doc_num", X.word_count(norm).alias("n_words"), X.quantity_count(norm, fixed).alias("quantity_hits"),
                    X.year_count(norm).alias("year_hits"), X.tokens(norm).alias("toks")).withColumn("n_tokens", F.size("toks"))
     out.write.mode("overwrite").parquet(f"{path}/docs_tokens")
     words = vocabulary(docs.sparkSession.read.parquet(f"{path}/docs_tokens"))

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexiflux.functions import text as X
-from lexiflux.operators import kwic, match, overlap, scan, sparse
+from lexiflux.operators import kwic, lexicon, match, overlap, scan, sparse
 from lexiflux.operators.lexicon import PatternError, Term, compile_terms, expand, plain_words, terms_frame, with_added
 
 P = Term
@@ -105,6 +105,24 @@ def test_scan(spark):
     got = overlap.resolve(scan.scanned_spans(d, terms)).collect()
     assert sorted((r["doc_id"], r["start"], r["term_id"]) for r in got) == [(0, 0, 0), (0, 15, 2), (1, 4, 3)]
     with pytest.raises(PatternError):
-        scan.alternations([P("x", "puffery", "(")])
+        scan.finders([P("x", "puffery", "(")])
     many = [P(f"t{i}", "puffery", f"w{i}") for i in range(200)]
-    assert len(scan.alternations(many)) == 3
+    found = scan.scanned_spans(spark.createDataFrame([(0, "w7 w70 w199 w200")], "doc_id long, norm string"), many).collect()
+    assert sorted((r["start"], r["len"], r["term_id"]) for r in found) == [(0, 2, 7), (3, 3, 70), (7, 4, 199)]
+
+
+def test_a_wildcard_that_fits_too_much_is_reported(spark, monkeypatch):
+    monkeypatch.setattr(lexicon, "MAX_WILDCARD", 3)
+    d = docs(spark, "the then there these thus of them")
+    terms = with_added([P("of", "puffery", "of")], ["th*", "the*n|of"])
+    compiled = compile_terms(terms, match.vocabulary(d))
+    raw = match.spans(d, compiled)
+    got = {r["term"]: tuple(r)[1:] for r in sparse.added_word_stats(raw, overlap.resolve(raw), terms_frame(spark, terms), compiled.errors).collect()}
+    assert got == {"th*": (0, 0, 0, "fits more than 3 words"), "the*n|of": (2, 1, 1, None)}
+    assert [r["words"] for r in raw.where("term_id = 2").orderBy("start").collect()] == [["then"], ["of"]]
+
+
+def test_tokens_at_the_edges(spark):
+    texts = ["", " ", "...", "-a-", "a", "; a ;b-;-c.", "a&;&b", "é", "aéb", None, "@a@ @", "x -, y -- z"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, s string").select("i", X.tokens(F.col("s")).alias("t")).collect()
+    assert [r["t"] for r in sorted(rows)] == [[], [], [], ["a"], ["a"], ["a", "@", "b", "@", "c"], ["a", "@", "b"], [], ["a", "@", "b"], None, ["a"], ["x", "@", "y", "z"]]
