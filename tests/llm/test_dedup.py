@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 
 from conftest import prose  # noqa: I001
 from lexiflux.llm import neardup as N
@@ -103,6 +104,12 @@ def test_word_hashes(rng):
     assert word_hashes("x" * 10 + " abc").tolist()[1] == word_hashes("abc").tolist()[0]
 
 
+def _hash(t):
+    """The hash of a text by which rows of one id rank."""
+    h = xxhash.xxh64_intdigest((t or "").encode(), 42)
+    return h - (1 << 64 if h >> 63 else 0)
+
+
 def sifted(rows, least=S.MIN_WORDS, least_run=S.MIN_RUN):
     """What is left of each row: repeats are marked, then runs of R (repeat) and s (short) units go that begin and end with R."""
     owner = {}
@@ -127,18 +134,6 @@ def sifted(rows, least=S.MIN_WORDS, least_run=S.MIN_RUN):
     return sorted(out, key=repr)
 
 
-@pytest.fixture(scope="module", autouse=True)
-def _hashes(spark):
-    """The hash of a text by which rows of one id rank."""
-    global _hash
-    known = {}
-
-    def _hash(t):
-        if t not in known:
-            known[t] = spark.sql("SELECT xxhash64(:t) h", {"t": t or ""}).first()["h"]
-        return known[t]
-
-
 def test_substring_dedup(frame, rng, odd):
     passage = prose(rng, 70)
     rows = [(i, prose(rng, 50)) for i in range(30)]

@@ -47,6 +47,27 @@ def test_stages_against_brute_force(spark):
     assert P.run(spark, DATA).count() == len(after)
 
 
+@needs_data
+def test_stages_on_odd_rows(spark, frame, odd):
+    """Nulls, empty and very long texts, repeated rows and ids, columns with clashing names; and no rows at all."""
+    docs, empty = frame(odd), frame([])
+    columns = docs.columns
+    for name, stage in P.STAGES[:-1]:
+        before = [(r["doc_id"], r["text"]) for r in docs.collect()]
+        docs, empty = P.stored(stage(spark, docs, DATA)), P.stored(stage(spark, empty, DATA))
+        after = [(r["doc_id"], r["text"]) for r in docs.collect()]
+        assert docs.columns == columns == empty.columns and empty.isEmpty()
+        if name == "near_duplicates":
+            # one row of each class: ids 1 and 8 share one, so do texts without words; the two texts of id 6 are two
+            assert sorted(i for i, _ in after) == [1, 2, 5, 6, 6, 7] and set(after) <= set(before)
+        elif name == "substring_dedup":
+            assert sorted(((i, t or "") for i, t in after), key=repr) == sifted(before)
+        else:  # nothing toxic, no passage of the benchmark
+            assert sorted(after, key=repr) == sorted(before, key=repr)
+    mixed = P.mix_sources(spark, docs, DATA).collect()
+    assert sorted(r["doc_id"] for r in mixed) == [1, 2, 5, 6, 6, 7] and P.mix_sources(spark, empty, DATA).collect() == []
+
+
 @needs_data
 def test_queries_have_the_contract_columns(spark):
     want = {
