@@ -17,6 +17,7 @@ from lexiflux.functions import text as X
 from lexiflux.operators import company, kwic, match, overlap, scan, score, sparse
 from lexiflux.operators.lexicon import TIERS, Compiled, Term, compile_terms, terms_frame, with_added
 from lexiflux.plans import oracles
+from lexiflux.plans.cluster import durable
 from lexiflux.plans.places import ranked
 
 LEXICON = [
@@ -64,7 +65,11 @@ def compiled(spark: SparkSession, sf_dir: str, terms: list[Term]) -> Compiled:
 
 
 def raw_spans(spark: SparkSession, sf_dir: str, terms: list[Term] = LEXICON) -> DataFrame:
-    return match.spans(tokenised(spark, sf_dir), compiled(spark, sf_dir, terms))
+    toks = tokenised(spark, sf_dir)
+    if not any(t.syntax == "plain" and "*" in t.pattern for t in terms):
+        return match.spans(toks, compile_terms(terms))
+    toks = durable(toks)  # read twice, for the vocabulary that a wildcard needs and for the spans
+    return match.spans(toks, compile_terms(terms, match.vocabulary(toks)))
 
 
 def kept_spans(spark: SparkSession, sf_dir: str, terms: list[Term] = LEXICON) -> DataFrame:
