@@ -17,6 +17,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -101,7 +102,7 @@ class Vocabulary:
     def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
         """Places among the head's words (the last place for others), symbols, and the other words."""
         get, none = self.index.get, len(self.words)
-        place = np.fromiter((get(w, none) for w in words), np.int32, len(words))
+        place = np.fromiter(map(get, words, repeat(none)), np.int32, len(words))
         symbol = self.symbol[place]
         rare = np.flatnonzero(place == none)
         tail = [words[i] for i in rare]
@@ -136,6 +137,36 @@ def vocabulary(counts: DataFrame, n_texts: int, head: int = HEAD, symbols: int =
     return out
 
 
+class Noise:
+    """Draws noise by a distribution over symbols; what a step needs of it is made once."""
+
+    def __init__(self, p: np.ndarray):
+        self.p = p
+        self.upto = np.cumsum(p)
+        self.upto /= self.upto[-1]
+        self.log = np.log(NOISE * p).astype(np.float32)
+
+    def sample(self, rng: np.random.Generator) -> np.ndarray:
+        return np.searchsorted(self.upto, rng.random(NOISE), side="right")
+
+
+def _share(z: np.ndarray) -> np.ndarray:
+    """1 / (1 + exp(-z)), in place; z far below 0 gives 0."""
+    np.negative(z, out=z)
+    with np.errstate(over="ignore"):
+        np.exp(z, out=z)
+    z += 1
+    return np.reciprocal(z, out=z)
+
+
+def _runs(at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different ones among symbols under n, an order that brings equal ones together, and where each begins in it."""
+    order = np.argsort(at.astype(np.min_scalar_type(n)), kind="stable")
+    own = at[order]
+    starts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+    return own[starts], order, starts
+
+
 @dataclass
 class LogBilinear:
     r1: np.ndarray
@@ -143,53 +174,40 @@ class LogBilinear:
     q: np.ndarray
     b: np.ndarray
     key: str = field(default_factory=lambda: uuid.uuid4().hex)
+    drawn: Noise | None = field(default=None, repr=False)
 
     @classmethod
     def start(cls, unigram: np.ndarray, dimension: int = DIMENSION) -> LogBilinear:
-        """The unigram model, with small vectors that are the same everywhere."""
+        """The unigram model in single precision, with small vectors that are the same everywhere."""
         rng = np.random.default_rng(0)
         n = len(unigram)
-        return cls(*(rng.normal(0, 0.1, (n, dimension)) for _ in range(3)), np.log(unigram))
+        return cls(*(rng.normal(0, 0.1, (n, dimension)).astype(np.float32) for _ in range(3)), np.log(unigram).astype(np.float32))
 
     def train(self, c2: np.ndarray, c1: np.ndarray, target: np.ndarray, noise: np.ndarray, rng: np.random.Generator, grown: list[np.ndarray], rate: float = RATE) -> None:
         """One step of noise-contrastive estimation with AdaGrad. c1 stands before the target, c2 before c1; the batch shares its noise."""
-        n, d = self.q.shape
-        sampled = rng.choice(n, NOISE, p=noise)
+        if self.drawn is None or self.drawn.p is not noise:
+            self.drawn = Noise(noise)
+        sampled, log_noise = self.drawn.sample(rng), self.drawn.log
         h = self.r1[c1] + self.r2[c2]
-        qt, qs, log_noise = self.q[target], self.q[sampled], np.log(NOISE * noise)
-        up = 1 / (1 + np.exp(np.clip((h * qt).sum(1) + self.b[target] - log_noise[target], -30, 30)))  # 1 - P(data)
+        qt, qs = self.q[target], self.q[sampled]
+        up = _share(log_noise[target] - np.einsum("ij,ij->i", h, qt) - self.b[target])  # 1 - P(data)
         down = h @ qs.T  # P(data) of noise, in place: the largest array of a step
-        down += self.b[sampled]
-        down -= log_noise[sampled]
-        np.negative(np.clip(down, -30, 30, out=down), out=down)
-        np.exp(down, out=down)
-        down += 1
-        np.reciprocal(down, out=down)
-        gh = up[:, None] * qt - down @ qs
-
-        def met(*at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            """The symbols of a step, and each symbol's place among them: only their gradients are not 0."""
-            marked = np.zeros(n, bool)
-            for x in at:
-                marked[x] = True
-            return np.flatnonzero(marked), np.cumsum(marked) - 1
-
-        def gather(at: np.ndarray, rows: np.ndarray, k: int) -> np.ndarray:
-            return np.bincount((at[:, None] * d + np.arange(d)).ravel(), rows.ravel(), k * d).reshape(k, d)
+        down += self.b[sampled] - log_noise[sampled]
+        down = _share(down)
+        gh = up[:, None] * qt
+        gh -= down @ qs
 
         def step(p: np.ndarray, a: np.ndarray, on: np.ndarray, g: np.ndarray) -> None:
-            a[on] += g * g
-            p[on] += rate * g / np.sqrt(a[on] + 1e-8)
+            ahead = a[on] + g * g
+            a[on] = ahead
+            p[on] += rate * g / np.sqrt(ahead + 1e-8)
 
-        of_q, at = met(target, sampled)
-        k = len(of_q)
-        gq = gather(at[target], up[:, None] * h, k) - gather(at[sampled], down.T @ h, k)
-        gb = np.bincount(at[target], up, k) - np.bincount(at[sampled], down.sum(0), k)
         for p, a, c in ((self.r1, grown[0], c1), (self.r2, grown[1], c2)):
-            on, at = met(c)
-            step(p, a, on, gather(at[c], gh, len(on)))
-        step(self.q, grown[2], of_q, gq)
-        step(self.b, grown[3], of_q, gb)
+            on, order, starts = _runs(c, len(p))
+            step(p, a, on, np.add.reduceat(gh[order], starts))
+        on, order, starts = _runs(np.concatenate([target, sampled]), len(self.q))
+        step(self.q, grown[2], on, np.add.reduceat(np.concatenate([up[:, None] * h, -(down.T @ h)])[order], starts))
+        step(self.b, grown[3], on, np.add.reduceat(np.concatenate([up, -down.sum(0)])[order], starts))
 
     def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For all symbols: scores after the last and after the last but one, and log-normalisers of all pairs (last, last but one)."""
@@ -252,7 +270,7 @@ def train(training: DataFrame, vocab: Vocabulary, dimension: int = DIMENSION) ->
                 model.train(c2[part], c1[part], symbols[part], noise, rng, grown)
             seen += len(at)
         if seen:
-            rows = np.concatenate([model.r1, model.r2, model.q, model.b[:, None]], 1)
+            rows = np.concatenate([model.r1, model.r2, model.q, model.b[:, None]], 1).astype(float)
             parts = [rows[i : i + BLOCK].ravel() for i in range(0, len(rows), BLOCK)]
             ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int64()), pa.ListArray.from_arrays(ends, pa.array(rows.ravel())), pa.array([float(seen)] * len(parts))], ["block", "v", "n"])
