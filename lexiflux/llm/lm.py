@@ -2,7 +2,7 @@
 
 Symbols are the end of a text, the commonest words, and classes of all other words. The score of a symbol after two
 others is bilinear: (r1[w1] + r2[w2]) . q[w] + b[w]. Because it is a sum of two terms, the normaliser of every pair of
-context symbols is one product of two matrices, and normalised log-probabilities are three look-ups for each token. A
+context symbols is one product of two matrices, and a normalised log-probability is a product of two vectors and one look-up. A
 word of a class has the class's probability times its own share in the class, smoothed like the base model.
 
 Every training text takes part: word counts are exact over the corpus, and each task trains on its own texts from a
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from lexiflux.llm.common import ship, stored, texts
 
 #: Symbols at most, of which so many are classes of rarer words; a word's class is the CRC of its first bytes. Symbols
-#: grow with the vocabulary up to there: each worker holds three tables of their pairs, 64 MB each.
+#: grow with the vocabulary up to there: each worker holds a table of their pairs, 64 MB, and another while it is made.
 SYMBOLS, CLASSES, CLASS_BYTES = 4096, 128, 3
 HEAD = 200_000
 DIMENSION, NOISE, BATCH, RATE = 24, 128, 1024, 0.2
@@ -38,6 +38,8 @@ FLUSH = 500_000
 BLOCK, GROUP = 256, 64
 #: Texts that are cut into words at once.
 SLICE = 500
+#: Tokens whose vectors are gathered at once.
+STEP = 8192
 END = 0
 
 
@@ -209,19 +211,32 @@ class LogBilinear:
         step(self.q, grown[2], on, np.add.reduceat(np.concatenate([up[:, None] * h, -(down.T @ h)])[order], starts))
         step(self.b, grown[3], on, np.add.reduceat(np.concatenate([up, -down.sum(0)])[order], starts))
 
-    def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For all symbols: scores after the last and after the last but one, and log-normalisers of all pairs (last, last but one)."""
+    def logits(self, c2: np.ndarray, c1: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """The score of each target after its context, so many at once that what is gathered for them stays small."""
+        out = np.empty(len(target))
+        for i in range(0, len(target), STEP):
+            k = slice(i, i + STEP)
+            out[k] = np.einsum("ij,ij->i", self.r1[c1[k]] + self.r2[c2[k]], self.q[target[k]]) + self.b[target[k]]
+        return out
+
+    def normalisers(self) -> np.ndarray:
+        """Log-normalisers of all pairs of context symbols (last, last but one): one table, and another while it is made."""
         n = len(self.b)
-        s1, s2, z = (np.empty((n, n), np.float32) for _ in range(3))
+        e2, m2, z = np.empty((n, n), np.float32), np.empty(n), np.empty((n, n), np.float32)
         blocks = [slice(i, i + BLOCK) for i in range(0, n, BLOCK)]
         for k in blocks:
-            s1[k] = self.r1[k] @ self.q.T + self.b
-            s2[k] = self.r2[k] @ self.q.T
-        m1, m2 = s1.max(1), s2.max(1)
-        e2 = np.exp(s2 - m2[:, None]).T
+            s2 = self.r2[k] @ self.q.T
+            m2[k] = s2.max(1)
+            e2[k] = np.exp(s2 - m2[k, None])
         for k in blocks:
-            z[k] = np.log(np.maximum(np.exp(s1[k] - m1[k, None]) @ e2, 1e-37)) + m1[k, None] + m2[None, :]
-        return s1, s2, z
+            s1 = self.r1[k] @ self.q.T + self.b
+            m1 = s1.max(1)
+            z[k] = np.log(np.maximum(np.exp(s1 - m1[:, None]).astype(np.float32) @ e2.T, 1e-37)) + m1[:, None] + m2
+        return z
+
+    def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For all symbols: scores after the last and after the last but one, and normalisers; for vocabularies that are small."""
+        return self.r1 @ self.q.T + self.b, self.r2 @ self.q.T, self.normalisers()
 
 
 def contexts(symbols: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -270,7 +285,7 @@ def train(training: DataFrame, vocab: Vocabulary, dimension: int = DIMENSION) ->
                 model.train(c2[part], c1[part], symbols[part], noise, rng, grown)
             seen += len(at)
         if seen:
-            rows = np.concatenate([model.r1, model.r2, model.q, model.b[:, None]], 1).astype(float)
+            rows = np.concatenate([model.r1, model.r2, model.q, model.b[:, None]], 1)
             parts = [rows[i : i + BLOCK].ravel() for i in range(0, len(rows), BLOCK)]
             ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int64()), pa.ListArray.from_arrays(ends, pa.array(rows.ravel())), pa.array([float(seen)] * len(parts))], ["block", "v", "n"])
@@ -280,7 +295,7 @@ def train(training: DataFrame, vocab: Vocabulary, dimension: int = DIMENSION) ->
         v = np.average(np.stack(pdf.v.to_numpy()), axis=0, weights=pdf.n)
         return pd.DataFrame({"block": [pdf.block.iloc[0]], "v": [v], "n": [pdf.n.sum()], "task": [pdf.task.iloc[0] // GROUP]})
 
-    parts = training.select("text").mapInArrow(run, "block long, v array<double>, n double")
+    parts = training.select("text").mapInArrow(run, "block long, v array<float>, n double")
     # a block of symbols has one row from each task; tasks meet in groups of GROUP, and these in groups again
     schema = "block long, v array<double>, n double, task long"
     parts = parts.withColumn("task", F.spark_partition_id().cast("long"))
@@ -294,24 +309,24 @@ def train(training: DataFrame, vocab: Vocabulary, dimension: int = DIMENSION) ->
     return LogBilinear(v[:, :d], v[:, d : 2 * d], v[:, 2 * d : 3 * d], v[:, 3 * d])
 
 
-_TABLES: dict[str, tuple] = {}
+_KEPT: dict[str, np.ndarray] = {}
 
 
-def _tables_of(model: LogBilinear) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A worker keeps the tables of the model it used last."""
-    if model.key not in _TABLES:
-        _TABLES.clear()
-        _TABLES[model.key] = model.tables()
-    return _TABLES[model.key]
+def _normalisers_of(model: LogBilinear) -> np.ndarray:
+    """A worker keeps the normalisers of the model it used last."""
+    if model.key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[model.key] = model.normalisers()
+    return _KEPT[model.key]
 
 
 def score_texts(ts: list[str], vocab: Vocabulary, model: LogBilinear) -> tuple[list, ...]:
     """For each text: tokens, known tokens and sum of log10(c + 1) among head and end, model's log10 but for the counts of other words, those words."""
     vocab.ready()
-    s1, s2, z = _tables_of(model)
+    z = _normalisers_of(model)
     places, symbols, tails, ends = _joined(vocab, ts)
     c2, c1 = contexts(symbols, ends)
-    logp = (s1[c1, symbols].astype(float) + s2[c2, symbols] - z[c1, c2]) / np.log(10)
+    logp = (model.logits(c2, c1, symbols) - z[c1, c2]) / np.log(10)
     is_end = np.zeros(len(symbols), bool)
     is_end[ends] = True
     within = vocab.in_class[places] & ~is_end
