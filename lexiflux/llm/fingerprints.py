@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from lexiflux.llm.common import in_parts, ship, texts
 
 K, W = 16, 33
-#: Neighbouring documents are compared in runs of about so many, and in so many runs at most.
+#: Neighbouring documents are compared in runs of about so many, and in so many runs at most; null ids in as many again.
 RUN, MOST_RUNS = 2000, 10_000
 _BASE, _M1, _M2 = 0x9E3779B97F4A7C15 | 1, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 
@@ -101,27 +101,46 @@ def fingerprints(documents: DataFrame, k: int = K, w: int = W) -> DataFrame:
 def _in_runs(documents: DataFrame) -> DataFrame:
     """Rows dealt by runs of neighbouring ids and sorted in them; each run ends with a guest, the first row after it.
 
-    Only ids are read to find the bounds of the runs and the first id of each; both lists have at most MOST_RUNS
-    entries. The texts are shuffled once.
+    Only ids are read to find the bounds of the runs and the first id of each; both lists are bounded by MOST_RUNS. An
+    id, or null, with the rows of several runs is cut by the hash of the text into as many, for which these rows are read
+    once more. The texts are shuffled once.
     """
     ids = documents.select(F.col("doc_id").cast("double").alias("d"))
-    n = ids.count()
-    n_runs = max(1, min(MOST_RUNS, n // RUN))
-    cuts = np.unique(np.array(ids.agg(F.percentile_approx("d", [i / n_runs for i in range(1, n_runs)] or [0.5], 10 * MOST_RUNS)).first()[0] or [], float))
+    n, known = ids.agg(F.count(F.lit(1)), F.count("d")).first()
+    n_runs = max(1, min(MOST_RUNS, known // RUN))
+    raw = ids.agg(F.percentile_approx("d", [i / n_runs for i in range(1, n_runs)] or [0.5], 10 * MOST_RUNS)).first()[0] or []
+    value, times = np.unique(np.array(raw, float), return_counts=True)
+    hot = {float(v): int(t) for v, t in zip(value, times, strict=True) if t > 1}
+    cuts = np.unique(np.concatenate([value, np.nextafter(np.array(list(hot), float), np.inf)]))
+    pieces = np.ones(len(cuts) + 2, np.int64)  # of each stretch between cuts, the last that of null ids
+    for v, t in hot.items():
+        pieces[np.searchsorted(cuts, v, side="right")] = t
+    pieces[-1] = max(1, min(MOST_RUNS, (n - known) // RUN))
+    base = np.cumsum(pieces) - pieces
 
     @F.pandas_udf("int")
-    def run_of(d: pd.Series) -> pd.Series:
-        return pd.Series(np.where(d.isna(), len(cuts) + 1, np.searchsorted(cuts, d.fillna(0).to_numpy(float), side="right"))).astype("int32")
+    def run_of(d: pd.Series, h: pd.Series) -> pd.Series:
+        at = np.where(d.isna(), len(cuts) + 1, np.searchsorted(cuts, d.fillna(0).to_numpy(float), side="right"))
+        share = (h.to_numpy(np.int64) >> 32) + (1 << 31)  # 32 bits that ascend with the hash
+        return pd.Series(base[at] + (share * pieces[at] >> 32)).astype("int32")
 
-    firsts = sorted((r["r"], r["d"]) for r in ids.groupBy(run_of("d").alias("r")).agg(F.min("d").alias("d")).collect())
-    before = {d: firsts[i - 1][0] for i, (_, d) in enumerate(firsts)}
+    d = F.col("doc_id").cast("double")
+    hashed = texts(documents).withColumn("_h", F.xxhash64("text"))
+    cut = F.col("d").isin(list(hot)) | (F.col("d").isNull() & F.lit(bool(pieces[-1] > 1)))
+    whole = ids.where(~F.coalesce(cut, F.lit(False))).groupBy(run_of("d", F.lit(0).cast("long")).alias("r")).agg(F.min("d").alias("d"))
+    firsts = [(r["r"], (r["d"], None)) for r in whole.collect()]
+    if pieces.max() > 1:
+        parts = hashed.select(d.alias("d"), "_h").where(cut).groupBy(run_of("d", "_h").alias("r")).agg(F.min(F.struct("d", "_h")).alias("x"))
+        firsts += [(r["r"], (r["x"]["d"], r["x"]["_h"])) for r in parts.collect()]
+    firsts.sort(key=lambda x: x[0])
+    before = {key: firsts[i - 1][0] for i, (_, key) in enumerate(firsts)}
 
     @F.pandas_udf("int")
-    def guest_in(d: pd.Series) -> pd.Series:
-        return pd.Series([before.get(None if pd.isna(x) else x, -1) for x in d], dtype="int32")
+    def guest_in(d: pd.Series, h: pd.Series) -> pd.Series:
+        keys = ((None if pd.isna(x) else x, y) for x, y in zip(d, h, strict=True))
+        return pd.Series([before.get((x, None), before.get((x, y), -1)) for x, y in keys], dtype="int32")
 
-    d = F.col("doc_id").cast("double")
-    rows = texts(documents).withColumn("_h", F.xxhash64("text")).withColumn("_run", run_of(d)).withColumn("_guest_in", guest_in(d))
+    rows = hashed.withColumn("_run", run_of(d, "_h")).withColumn("_guest_in", guest_in(d, "_h"))
     places = F.array(F.struct(F.col("_run").alias("run"), F.lit(0).alias("guest")), F.struct(F.col("_guest_in").alias("run"), F.lit(1).alias("guest")))
     rows = rows.select("doc_id", "text", "_h", F.explode(F.filter(places, lambda x: x["run"] >= 0)).alias("_at"))
     rows = rows.select("doc_id", "text", F.col("_at.run").alias("run"), F.col("_at.guest").alias("guest"), "_h")

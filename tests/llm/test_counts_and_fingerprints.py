@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import prose  # noqa: I001
 from lexiflux.llm import fingerprints as W
@@ -68,8 +69,8 @@ def test_match_guarantee(rng):
         assert {h for h, _ in W.decode(W.fingerprint(a)[0])} & {h for h, _ in W.decode(W.fingerprint(b)[0])}
 
 
-def neighbours(rows):
-    rows = sorted(rows, key=lambda r: r[0])
+def neighbours(rows, placed=False):
+    rows = rows if placed else sorted(rows, key=lambda r: r[0])
     for i, (doc_id, t) in enumerate(rows):
         n = rows[(i + 1) % len(rows)][1]
         half = len(t) // 2
@@ -86,6 +87,18 @@ def test_neighbours(frame, rng, monkeypatch, run):
     assert got == sorted(neighbours(rows))
 
 
+@pytest.mark.parametrize("run", [5, 2000])
+def test_neighbours_of_ids_with_many_rows(frame, rng, monkeypatch, run):
+    """Null ids and one id hold two thirds of the rows; equal ids go by the hash of the text, and null ids come last."""
+    monkeypatch.setattr(W, "RUN", run)
+    rows = [((None, 40, i)[i % 3], f"{i} {prose(rng, rng.randint(0, 40))}") for i in range(120)]
+    docs = frame(rows)
+    placed = [(r["doc_id"], r["text"]) for r in docs.orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64("text")).collect()]
+    assert sorted(map(repr, map(tuple, W.neighbours(docs).collect()))) == sorted(map(repr, neighbours(placed, placed=True)))
+    runs = [r["count"] for r in W._in_runs(docs).where("guest = 0").groupBy("run").count().collect()]
+    assert sum(runs) == len(rows) and max(runs) < (6 * run if run < 100 else len(rows) + 1)
+
+
 def test_neighbours_of_odd_rows(frame, odd):
     got = W.neighbours(frame(odd)).collect()
     assert sorted((r["doc_id"], r["n_chars"]) for r in got if r["doc_id"] is not None) == sorted((i, len(t or "")) for i, t in odd if i is not None)
