@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiflux.operators.lexicon import Compiled
+from lexiflux.operators.lexicon import Compiled, fitting
 
 
 def spans(docs: DataFrame, compiled: Compiled, key: str = "doc_id", tokens: str = "toks") -> DataFrame:
@@ -13,8 +16,9 @@ def spans(docs: DataFrame, compiled: Compiled, key: str = "doc_id", tokens: str
 
     Each token is a row with the tokens after it, as many as the longest variant has words; the token array itself is
     not carried along. The lexicon's places are broadcast: they are a driver-side list. The first word is joined, the
-    others only filter what it left. words, the tokens of the span, travel with it. The generator is the outer one: of
-    the other Spark would infer a filter on the size of the array, and make the tokens a second time for it.
+    others only filter what it left. A token that fits a wildcard is kept beside those that are joined, so that no list of
+    fitting words is made. words, the tokens of the span, travel with it. The generator is the outer one: of the other Spark
+    would infer a filter on the size of the array, and make the tokens a second time for it.
     """
     spark = docs.sparkSession
     n_before = max((len(s) for ss in compiled.before.values() for s in ss), default=0)
@@ -27,10 +31,14 @@ def spans(docs: DataFrame, compiled: Compiled, key: str = "doc_id", tokens: str
     zipped = F.arrays_zip(*(c.alias(n) for c, n in zip(columns, names, strict=True)))
     rows = docs.select(key, F.posexplode_outer(zipped).alias("start", "w")).select(key, "start", *(F.col("w")[n].alias(n) for n in names)).where("t0 IS NOT NULL")
     places = spark.createDataFrame(compiled.places, "term_id int, variant int, pos int, tok string, len int")
-    hits = rows.join(F.broadcast(places.where("pos = 0").drop("pos").withColumnRenamed("tok", "t0")), "t0")
+    hits = _starts(rows, compiled)
     for i in range(1, compiled.longest):
         other = places.where(F.col("pos") == i).select("variant", F.col("tok").alias(f"t{i}"), F.lit(True).alias("fits"))
-        hits = hits.join(F.broadcast(other), ["variant", f"t{i}"], "left").where(f"len <= {i} OR fits").drop("fits")
+        fits = F.expr(f"len <= {i} OR fits")
+        for _, variant, pos, alternatives, _ in compiled.patterns:
+            if pos == i:
+                fits = fits | ((F.col("variant") == variant) & fitting(F.col(f"t{i}"), alternatives))
+        hits = hits.join(F.broadcast(other), ["variant", f"t{i}"], "left").where(fits).drop("fits")
     for side, seqs in (("before", compiled.before), ("after", compiled.after)):
         for term, forbidden in seqs.items():
             for s in forbidden:
@@ -47,6 +55,24 @@ def spans(docs: DataFrame, compiled: Compiled, key: str = "doc_id", tokens: str
     return hits.select(key, "start", (F.col("start") + F.col("len")).alias("end"), "len", "term_id", words.alias("words"))
 
 
+def _starts(rows: DataFrame, compiled: Compiled) -> DataFrame:
+    """rows with term_id, variant and len of every variant that their token t0 may begin."""
+    spark, patterns = rows.sparkSession, [p for p in compiled.patterns if p[2] == 0]
+    ids = "array<struct<term_id: int, variant: int, len: int>>"
+    listed: dict[str, list[tuple[int, int, int]]] = {}
+    for term, variant, pos, tok, n in compiled.places:
+        if pos == 0:
+            listed.setdefault(tok, []).append((term, variant, n))
+    begun = rows.join(F.broadcast(spark.createDataFrame(list(listed.items()), f"t0 string, listed {ids}")), "t0", "left" if patterns else "inner")
+    both = F.col("listed")
+    if patterns:
+        fits = [fitting(F.col("t0"), alternatives) for *_, alternatives, _ in patterns]
+        begun = begun.where(reduce(or_, fits, F.col("listed").isNotNull()))
+        own = [F.when(f, F.struct(F.lit(term), F.lit(variant), F.lit(n))) for f, (term, variant, _, _, n) in zip(fits, patterns, strict=True)]
+        both = F.concat(F.coalesce("listed", F.array().cast(ids)), F.array_compact(F.array(*own)).cast(ids))
+    return begun.select(*rows.columns, F.explode(both).alias("_begun")).select(*rows.columns, "_begun.*")
+
+
 def vocabulary(docs: DataFrame, tokens: str = "toks") -> DataFrame:
     """token, corpus_freq; barriers have a row as well."""
     return docs.select(F.explode_outer(tokens).alias("token")).where("token IS NOT NULL").groupBy("token").agg(F.count(F.lit(1)).alias("corpus_freq"))

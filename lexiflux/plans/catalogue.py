@@ -15,9 +15,8 @@ from pyspark.sql import functions as F
 from lexiflux.functions import html as H
 from lexiflux.functions import text as X
 from lexiflux.operators import company, kwic, match, overlap, scan, score, sparse
-from lexiflux.operators.lexicon import TIERS, Compiled, Term, compile_terms, terms_frame, with_added
+from lexiflux.operators.lexicon import TIERS, Compiled, Term, terms_frame, usable, with_added
 from lexiflux.plans import oracles
-from lexiflux.plans.cluster import durable
 from lexiflux.plans.places import ranked
 
 LEXICON = [
@@ -60,16 +59,12 @@ def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def compiled(spark: SparkSession, sf_dir: str, terms: list[Term]) -> Compiled:
-    wild = any(t.syntax == "plain" and "*" in t.pattern for t in terms)
-    return compile_terms(terms, vocabulary(spark, sf_dir) if wild else None)
+    return usable(terms)
 
 
 def raw_spans(spark: SparkSession, sf_dir: str, terms: list[Term] = LEXICON) -> DataFrame:
-    toks = tokenised(spark, sf_dir)
-    if not any(t.syntax == "plain" and "*" in t.pattern for t in terms):
-        return match.spans(toks, compile_terms(terms))
-    toks = durable(toks)  # read twice, for the vocabulary that a wildcard needs and for the spans
-    return match.spans(toks, compile_terms(terms, match.vocabulary(toks)))
+    found = usable(terms)  # before anything is read
+    return match.spans(tokenised(spark, sf_dir), found)
 
 
 def kept_spans(spark: SparkSession, sf_dir: str, terms: list[Term] = LEXICON) -> DataFrame:

@@ -126,3 +126,24 @@ def test_tokens_at_the_edges(spark):
     texts = ["", " ", "...", "-a-", "a", "; a ;b-;-c.", "a&;&b", "é", "aéb", None, "@a@ @", "x -, y -- z"]
     rows = spark.createDataFrame(list(enumerate(texts)), "i int, s string").select("i", X.tokens(F.col("s")).alias("t")).collect()
     assert [r["t"] for r in sorted(rows)] == [[], [], [], ["a"], ["a"], ["a", "@", "b", "@", "c"], ["a", "@", "b"], [], ["a", "@", "b"], None, ["a"], ["x", "@", "y", "z"]]
+
+
+def test_wildcards_that_fit_any_number_of_words(spark, monkeypatch):
+    d = docs(spark, "the then there. these of thus of the thing_x thing things", "of them with the", None, "")
+    terms = [P("the", "puffery", "the"), P("w", "hedge", "the|th*|t*e th*|of", "plain"), P("x", "hedge", "of th*|the", "plain"), P("y", "hedge", "*s", "plain")]
+    listed = compile_terms(terms, match.vocabulary(d))
+    monkeypatch.setattr(lexicon, "MAX_WILDCARD", 1)  # no limit holds for words that are not listed
+    kept = compile_terms(terms)
+    assert not kept.errors and not any("*" in tok for _, _, _, tok, _ in kept.places)
+    got = sorted(map(tuple, match.spans(d, kept).drop("words").collect()))
+    assert got == sorted(map(tuple, match.spans(d, listed).drop("words").collect())) and len(got) == 13
+    assert compile_terms([P("only", "hedge", "th*", "plain")]).places == []
+    only = match.spans(d, compile_terms([P("only", "hedge", "th*", "plain")]))
+    assert only.count() == 10
+
+
+def test_a_term_that_cannot_be_used_raises_in_queries():
+    from lexiflux.plans import catalogue
+
+    with pytest.raises(PatternError, match="x: "):
+        catalogue.raw_spans(None, None, [P("x", "puffery", "a+")])
