@@ -24,7 +24,9 @@ WORD = r"[a-z][a-z'-]*"
 YEAR = r"\b(?:19|20)\d{2}\b"
 TOKEN = "[a-z0-9_]+"
 BARRIER = "@"
-_JOINED = r" \t\n\r\f\x0B" + JOINERS.replace("-", r"\-")
+# Single characters, not ranges: those below 256 are looked up in one table, while each range is a test of its own.
+_LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789_"
+_JOINED = r" \t\n\r\f\x0B" + JOINERS.replace("-", r"\-").replace("‐‑‒–—―", "‐-―")
 SHORT_DOC = 2000
 
 
@@ -73,10 +75,14 @@ def year_count(normal: Column) -> Column:
 
 
 def tokens(normal: Column) -> Column:
-    """Runs of letters, digits and underscores, with one barrier for each gap between two of them that holds anything but joiners."""
-    marked = F.regexp_replace(normal, f"[^a-z0-9_{_JOINED}][^a-z0-9_]*", BARRIER)
-    inner = F.regexp_replace(marked, "^[^a-z0-9_]+|[^a-z0-9_]+$", "")  # no barrier at either end
-    return F.regexp_extract_all(inner, F.lit(f"[a-z0-9_]+|{BARRIER}"), F.lit(0))
+    """Runs of letters, digits and underscores, with one barrier for each gap between two of them that holds anything but joiners.
+
+    One search finds both: a gap that is a barrier matches outside the group, which is then empty. Nothing that has no
+    end is tried twice, so that a text without letters is linear as well.
+    """
+    inner = F.regexp_extract(normal, f"(?s)^[^{_LETTERS}]*+(.*[{_LETTERS}])", 1)  # no barrier at either end
+    found = F.regexp_extract_all(inner, F.lit(f"([{_LETTERS}]++)|[^{_LETTERS}{_JOINED}][^{_LETTERS}]*+"), F.lit(1))
+    return F.transform(found, lambda t: F.when(t == "", BARRIER).otherwise(t))
 
 
 def per_thousand(hits: Column, words: Column) -> Column:
