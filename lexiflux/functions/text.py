@@ -53,7 +53,8 @@ def nfkc(text: Column) -> Column:
 def normalise(text: Column, composed: bool = True) -> Column:
     """Composed, words rejoined over line ends, straight apostrophes, single blanks, lower case. Null stays null."""
     t = nfkc(text) if composed else text
-    t = F.regexp_replace(t, r"(?U)(\w)-\s*\n\s*(\w)", "$1$2")
+    # few texts have a hyphen at the end of a line, and to look for that alone is quicker
+    t = F.when(t.rlike(r"(?U)-\s*\n"), F.regexp_replace(t, r"(?U)(\w)-\s*\n\s*(\w)", "$1$2")).otherwise(t)
     return F.lower(F.regexp_replace(F.replace(t, F.lit("’"), F.lit("'")), r"(?U)\s+", " "))
 
 

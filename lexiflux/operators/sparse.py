@@ -31,13 +31,16 @@ def word_vectors(docs: DataFrame, kept: DataFrame, used: DataFrame, slot: DataFr
     """token, c, n, overlap for words of 3 to 20 letters with at least min_hits in the corpus.
 
     c counts all places in documents that count, n those outside kept spans (null where all are), overlap the
-    difference. docs: doc_id, toks; kept: with the words of each span. Words are counted by company in tasks first; no
-    single place of a word is shuffled.
+    difference. docs: doc_id, symbol, doc_kind, toks; kept: with the words of each span. Words are counted by company in
+    tasks first; no single place of a word is shuffled. Whether a document counts follows from its company and kind, of
+    which there are few: that table is broadcast, so that tokens never travel to meet their company.
     """
     letters = F.col("token").rlike("^[a-z]{3,20}$")
     slotted = used.join(slot, "symbol").select("doc_id", "slot")
+    counting = F.broadcast(used.select("symbol", F.col("doc_kind").alias("_kind")).distinct().join(slot, "symbol").withColumnRenamed("symbol", "_symbol"))
+    of = (F.col("symbol") == F.col("_symbol")) & F.col("doc_kind").eqNullSafe(F.col("_kind"))
     # a document that does not count has no slot; its words count for how often a word occurs
-    tokens = docs.select("doc_id", "toks").join(slotted, "doc_id", "left").select("slot", F.explode_outer("toks").alias("token")).where(letters)
+    tokens = docs.select("symbol", "doc_kind", "toks").join(counting, of, "left").select("slot", F.explode_outer("toks").alias("token")).where(letters)
     all_ = tokens.groupBy("token", "slot").agg(F.count(F.lit(1)).alias("n"), F.lit(0).cast("long").alias("taken"))
     claimed = kept.select("doc_id", F.explode_outer("words").alias("token")).where(letters).join(slotted, "doc_id")
     claimed = claimed.groupBy("token", "slot").agg(F.lit(0).cast("long").alias("n"), F.count(F.lit(1)).alias("taken"))

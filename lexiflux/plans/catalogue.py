@@ -51,7 +51,7 @@ def stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tokenised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents(spark, sf_dir).select("doc_id", "symbol", X.tokens(F.col("norm")).alias("toks"))
+    return documents(spark, sf_dir).select("doc_id", "symbol", "doc_kind", X.tokens(F.col("norm")).alias("toks"))
 
 
 def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:

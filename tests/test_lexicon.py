@@ -1,4 +1,5 @@
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -147,3 +148,19 @@ def test_a_term_that_cannot_be_used_raises_in_queries():
 
     with pytest.raises(PatternError, match="x: "):
         catalogue.raw_spans(None, None, [P("x", "puffery", "a+")])
+
+
+def test_words_by_company_without_shuffling_tokens(spark):
+    d = docs(spark, "the plan plan the", "plan the plan", "other plan").withColumn("doc_kind", F.when(F.col("doc_id") == 1, "page").otherwise(F.when(F.col("doc_id") == 0, "main")))
+    used = d.where("doc_id <> 1").select("doc_id", "symbol", "doc_kind")  # the last has no kind
+    slot = spark.createDataFrame([("s0", 0), ("s2", 1)], "symbol string, slot long")
+    kept = match.spans(d, compile_terms([P("p", "puffery", "plan the")]))
+    out = sparse.word_vectors(d, kept, used, slot)
+    assert sorted(map(tuple, out.collect())) == [("plan", "0:2,1:1", "0:1,1:1", 1)]
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = sparse.word_vectors(d, kept, used, slot)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert re.search(r"BroadcastHashJoin \[symbol#", plan)

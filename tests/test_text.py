@@ -37,3 +37,13 @@ def test_counts_and_ratios(spark):
     assert [r[0] for r in df.select(X.ratio(F.col("h"), F.col("w"), 3)).collect()] == [None, 0.025]
     assert [tuple(r) for r in one(spark, X.censored_years(F.col("t")), "37", "> 140", "", None)] == [(37, False), (140, True), (None, None), (None, None)]
     assert len(one(spark, X.lexicon_key(F.col("t")), "a")[0]) == 16
+
+
+def test_tokens_of_odd_texts(spark):
+    texts = ["‐a‒b―c’d", "a‖b", "a b", "—!a!—", "漢字" * 3000, "漢 a 字", "a" * 50_000 + "!" * 50_000, "x\x0by", "a‖―b", "@", "a @ b", "a-\nb-\nc", "a-b\nc - \n d"]
+    got = one(spark, X.tokens(X.normalise(F.col("t"))), *texts)
+    assert got == [["a", "b", "c", "d"], ["a", "@", "b"], ["a", "b"], ["a"], [], ["a"], ["a" * 50_000], ["x", "y"], ["a", "@", "b"], [], ["a", "@", "b"], ["ab", "c"], ["a", "b", "c", "d"]]
+
+
+def test_classes_of_tokens_have_no_ranges_below_256():
+    assert "a-z" not in X._LETTERS and set(X._LETTERS) == set("_0123456789abcdefghijklmnopqrstuvwxyz")
