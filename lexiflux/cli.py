@@ -71,12 +71,12 @@ class Scored:
     """Documents, terms and spans of one command."""
 
     def __init__(self, spark: SparkSession, args: argparse.Namespace):
-        docs, vocab = index.read(spark, args.index)
+        docs, _ = index.read(spark, args.index)
         lexicon = readers.lexicon(spark, args.lexicon) if args.lexicon else []
         self.terms = with_added(lexicon, args.add, args.only_added, args.tier)
         if not self.terms:
             sys.exit("no terms to score")
-        compiled = compile_terms(self.terms, vocab)
+        compiled = compile_terms(self.terms)
         for t, error in compiled.errors.items():
             print(f"skipped {self.terms[t].label}: {error}", file=sys.stderr)
         self.errors = compiled.errors
@@ -113,8 +113,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         ranked = company.lookup_rank(s.rollup, args.min_words).where(F.col("symbol") == found[0]["symbol"])
         _emit(args, {"company": _dicts(ranked), "files": [r["file"] for r in company.files(s.docs, args.sources).where(F.col("symbol") == found[0]["symbol"]).collect()], "added": s.added()})
     elif args.command == "find":
-        docs, vocab = index.read(spark, args.index)
-        compiled = compile_terms([Term(args.term, "puffery", args.term, "regex" if args.regex else "plain")], vocab)
+        docs, _ = index.read(spark, args.index)
+        compiled = compile_terms([Term(args.term, "puffery", args.term, "regex" if args.regex else "plain")])
         if compiled.errors:
             sys.exit(f"cannot use {args.term!r}: {compiled.errors[0]}")
         found = match.spans(docs, compiled)
