@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -20,13 +21,15 @@ JOINERS = "-'‐‑‒–—―’&"
 
 # What counts as a number, a word, a year and a token.
 NUMBER = r"\d[\d,]*(?:\.\d+)?"
-WORD = r"[a-z][a-z'-]*"
+WORD = r"[a-z][a-z'-]*+"
 YEAR = r"\b(?:19|20)\d{2}\b"
 TOKEN = "[a-z0-9_]+"
 BARRIER = "@"
 # Single characters, not ranges: those below 256 are looked up in one table, while each range is a test of its own.
 _LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789_"
 _JOINED = r" \t\n\r\f\x0B" + JOINERS.replace("-", r"\-").replace("‐‑‒–—―", "‐-―")
+# Any character but the printable ones of ASCII: one look-up turns most characters of a text away.
+_ODD = "[^" + re.sub(r"(\W)", r"\\\1", "".join(map(chr, range(33, 127)))) + "]"
 SHORT_DOC = 2000
 
 
@@ -55,11 +58,14 @@ def normalise(text: Column, composed: bool = True) -> Column:
     t = nfkc(text) if composed else text
     # few texts have a hyphen at the end of a line, and to look for that alone is quicker
     t = F.when(t.rlike(r"(?U)-\s*\n"), F.regexp_replace(t, r"(?U)(\w)-\s*\n\s*(\w)", "$1$2")).otherwise(t)
-    return F.lower(F.regexp_replace(F.replace(t, F.lit("’"), F.lit("'")), r"(?U)\s+", " "))
+    # a single blank stays as it is, so that only what changes is found: longer runs, and those that begin otherwise
+    blanks = rf"(?U){_ODD}(?:(?<= )\s++|(?<=[^\S ])\s*+)"
+    return F.lower(F.regexp_replace(F.replace(t, F.lit("’"), F.lit("'")), blanks, " "))
 
 
 def word_count(normal: Column) -> Column:
-    return F.regexp_count(normal, F.lit(WORD)).cast("long")
+    """Words never are empty, so that the pieces between them are one more: to count these is quicker than to list the words."""
+    return (F.array_size(F.split(normal, WORD)) - 1).cast("long")
 
 
 def page_word_count(text: Column) -> Column:
@@ -68,22 +74,23 @@ def page_word_count(text: Column) -> Column:
 
 
 def quantity_count(normal: Column, fixed: bool = False) -> Column:
-    return F.regexp_count(normal, F.lit(quantity_pattern(fixed))).cast("long")
+    # to look for how one may begin is quicker than to try every place for a border of words
+    return F.regexp_count(normal, F.lit(rf"(?=[0123456789$])(?:{quantity_pattern(fixed)})")).cast("long")
 
 
 def year_count(normal: Column) -> Column:
-    return F.regexp_count(normal, F.lit(YEAR)).cast("long")
+    return F.regexp_count(normal, F.lit(f"(?=[12]){YEAR}")).cast("long")
 
 
 def tokens(normal: Column) -> Column:
     """Runs of letters, digits and underscores, with one barrier for each gap between two of them that holds anything but joiners.
 
-    One search finds both: a gap that is a barrier matches outside the group, which is then empty. Nothing that has no
-    end is tried twice, so that a text without letters is linear as well.
+    A gap is written as a barrier from its first character on that joins nothing; what then divides tokens is no part of
+    the array. Nothing that has no end is tried twice, so that a text without letters is linear as well.
     """
     inner = F.regexp_extract(normal, f"(?s)^[^{_LETTERS}]*+(.*[{_LETTERS}])", 1)  # no barrier at either end
-    found = F.regexp_extract_all(inner, F.lit(f"([{_LETTERS}]++)|[^{_LETTERS}{_JOINED}][^{_LETTERS}]*+"), F.lit(1))
-    return F.transform(found, lambda t: F.when(t == "", BARRIER).otherwise(t))
+    marked = F.regexp_replace(inner, f"(?=[^{_LETTERS} ])[^{_LETTERS}{_JOINED}][^{_LETTERS}]*+", f" {BARRIER} ")
+    return F.array_remove(F.split(marked, f"[^{_LETTERS}{BARRIER}]++"), "")
 
 
 def per_thousand(hits: Column, words: Column) -> Column:

@@ -5,31 +5,35 @@ from __future__ import annotations
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexiflux.operators.lexicon import Compiled, fitting
 
+# Fixed value: how many first words, or beginnings of them, a token is compared with before the join.
+MAX_HEADS = 500
+
 
 def spans(docs: DataFrame, compiled: Compiled, key: str = "doc_id", tokens: str = "toks") -> DataFrame:
     """key, start, end, len, term_id, words: every occurrence of every variant, overlaps included; places count from 0 in a document.
 
-    Each token is a row with the tokens after it, as many as the longest variant has words; the token array itself is
-    not carried along. The lexicon's places are broadcast: they are a driver-side list. The first word is joined, the
-    others only filter what it left. A token that fits a wildcard is kept beside those that are joined, so that no list of
-    fitting words is made. words, the tokens of the span, travel with it. The generator is the outer one: of the other Spark
-    would infer a filter on the size of the array, and make the tokens a second time for it.
+    Each token is a row for as long as it takes to see whether it can begin a term; only one that can gets the tokens
+    around it, as many as the longest variant has words. The token array is read where it lies: explosion, filter and
+    look-up are one generated step, so that it is not copied for a row. The lexicon's places are broadcast: they are a
+    driver-side list. The first word is joined, the others only filter what it left. A token that fits a wildcard is kept
+    beside those that are joined, so that no list of fitting words is made. words, the tokens of the span, travel with it.
+    The generator is the outer one: of the other Spark would infer a filter on the size of the array, and make the tokens
+    a second time for it.
     """
     spark = docs.sparkSession
     n_before = max((len(s) for ss in compiled.before.values() for s in ss), default=0)
     n_after = max((len(s) for ss in compiled.after.values() for s in ss), default=0)
     wide = compiled.longest + n_after
-    size = F.size(tokens)
-    columns = [F.col(tokens), *(F.slice(tokens, i + 1, F.greatest(size - i, F.lit(0))) for i in range(1, wide))]
-    columns += [F.concat(F.array_repeat(F.lit(None).cast("string"), i), tokens) for i in range(1, n_before + 1)]
-    names = [f"t{i}" for i in range(wide)] + [f"b{i}" for i in range(1, n_before + 1)]
-    zipped = F.arrays_zip(*(c.alias(n) for c, n in zip(columns, names, strict=True)))
-    rows = docs.select(key, F.posexplode_outer(zipped).alias("start", "w")).select(key, "start", *(F.col("w")[n].alias(n) for n in names)).where("t0 IS NOT NULL")
+    begun = docs.select(key, F.col(tokens).alias("_toks"), F.posexplode_outer(tokens).alias("start", "t0")).where(F.col("t0").isNotNull() & _may_begin(F.col("t0"), compiled))
+    rows = begun.select(
+        key, "start", "t0", *(F.get("_toks", F.col("start") + i).alias(f"t{i}") for i in range(1, wide)),
+        *(F.get("_toks", F.col("start") - i).alias(f"b{i}") for i in range(1, n_before + 1)),
+    )
     places = spark.createDataFrame(compiled.places, "term_id int, variant int, pos int, tok string, len int")
     hits = _starts(rows, compiled)
     for i in range(1, compiled.longest):
@@ -55,6 +59,17 @@ def spans(docs: DataFrame, compiled: Compiled, key: str = "doc_id", tokens: str
     return hits.select(key, "start", (F.col("start") + F.col("len")).alias("end"), "len", "term_id", words.alias("words"))
 
 
+def _may_begin(token: Column, compiled: Compiled) -> Column:
+    """False only of tokens that begin no variant. Of more than MAX_HEADS first words their beginnings are compared; the join decides."""
+    words = {tok for _, _, pos, tok, _ in compiled.places if pos == 0}
+    for n in (max(map(len, words), default=1), 4, 3, 2, 1):
+        heads = sorted({w[:n] for w in words})
+        if len(heads) <= MAX_HEADS:
+            break
+    fits = [fitting(token, alternatives) for _, _, pos, alternatives, _ in compiled.patterns if pos == 0]
+    return reduce(or_, fits, (token if set(heads) == words else F.substring(token, 1, n)).isin(heads))
+
+
 def _starts(rows: DataFrame, compiled: Compiled) -> DataFrame:
     """rows with term_id, variant and len of every variant that their token t0 may begin."""
     spark, patterns = rows.sparkSession, [p for p in compiled.patterns if p[2] == 0]
@@ -69,8 +84,9 @@ def _starts(rows: DataFrame, compiled: Compiled) -> DataFrame:
         fits = [fitting(F.col("t0"), alternatives) for *_, alternatives, _ in patterns]
         begun = begun.where(reduce(or_, fits, F.col("listed").isNotNull()))
         own = [F.when(f, F.struct(F.lit(term), F.lit(variant), F.lit(n))) for f, (term, variant, _, _, n) in zip(fits, patterns, strict=True)]
-        both = F.concat(F.coalesce("listed", F.array().cast(ids)), F.array_compact(F.array(*own)).cast(ids))
-    return begun.select(*rows.columns, F.explode(both).alias("_begun")).select(*rows.columns, "_begun.*")
+        both = F.concat(F.coalesce("listed", F.array().cast(ids)), F.array(*own).cast(ids))
+    # a pattern that a token does not fit is null; to drop it from the array would take Spark out of the generated step
+    return begun.select(*rows.columns, F.explode_outer(both).alias("_begun")).where("_begun IS NOT NULL").select(*rows.columns, "_begun.*")
 
 
 def vocabulary(docs: DataFrame, tokens: str = "toks") -> DataFrame:

@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 def resolve(spans: DataFrame, key: str = "doc_id") -> DataFrame:
     """The spans (key, start, end, len, term_id, and words where there are any) that are kept.
 
-    Spans fall into islands, between which nothing overlaps: a span starts one if no earlier span reaches past its
-    start. Only inside an island is the greedy choice made, by a fold over its few spans; a document of many spans is
+    Of the spans with one start only the first can be kept; the others go before anything is gathered. Spans fall into
+    islands, between which nothing overlaps: a span starts one if no earlier span reaches past its start. Only inside an island is the greedy choice made, by a fold over its few spans; a document of many spans is
     many islands, so the fold stays linear.
     """
     order = Window.partitionBy(key).orderBy("start", F.col("len").desc(), "term_id")
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    marked = spans.withColumn("_new", (reach.isNull() | (F.col("start") >= reach)).cast("int"))
-    marked = marked.withColumn("_island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    marked = spans.withColumn("_new", (reach.isNull() | (F.col("start") >= reach)).cast("int")).withColumn("_same", F.lag("start").over(order).eqNullSafe(F.col("start")))
+    marked = marked.withColumn("_island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))).where(~F.col("_same"))
     with_words = ["words"] if "words" in spans.columns else []
     islands = marked.groupBy(key, "_island").agg(F.array_sort(F.collect_list(F.struct("start", (-F.col("len")).alias("neg"), "term_id", "end", *with_words))).alias("s"))
 

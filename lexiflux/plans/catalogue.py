@@ -72,7 +72,7 @@ def kept_spans(spark: SparkSession, sf_dir: str, terms: list[Term] = LEXICON) ->
 
 
 def counted(spark: SparkSession, sf_dir: str, terms: list[Term] = LEXICON) -> DataFrame:
-    return score.counts(kept_spans(spark, sf_dir, terms))
+    return score.counts(overlap.resolve(raw_spans(spark, sf_dir, terms).drop("words")))
 
 
 def companies(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -164,3 +164,29 @@ def test_words_by_company_without_shuffling_tokens(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
     assert re.search(r"BroadcastHashJoin \[symbol#", plan)
+
+
+def test_only_tokens_that_may_begin_a_term_get_their_neighbours(spark, monkeypatch):
+    d = docs(spark, "one of the best of them", "that the of that. thing_x things the", None, "")
+    terms = [P("a", "puffery", "(?<!of )that|of the"), P("b", "hedge", "the"), P("c", "hedge", "thing*", "plain"), P("e", "hedge", "best of(?! the)")]
+    got = match.spans(d, compile_terms(terms))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"Filter \(isnotnull\(t0#\d+\) AND [^\n]*\n[^\n]*Generate posexplode\(toks", plan) and "arrays_zip" not in plan
+    want = sorted(map(str, got.collect()))
+    assert len(want) == 7
+    monkeypatch.setattr(match, "MAX_HEADS", 2)  # beginnings of words stand for them then
+    assert sorted(map(str, match.spans(d, compile_terms(terms)).collect())) == want
+
+
+def test_counts_do_not_shuffle_the_words_of_spans(spark):
+    from lexiflux.plans import catalogue
+
+    plan = catalogue.counted(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "AS words" not in plan
+
+
+def test_one_span_of_each_start_is_gathered(spark):
+    rows = [(0, 0, n, n, t) for n in (1, 2, 3) for t in range(5)] + [(0, 2, 4, 2, 0), (0, 3, 4, 1, 7), (0, 3, 4, 1, 7)]
+    kept = overlap.resolve(spark.createDataFrame(rows, "doc_id long, start int, end int, len int, term_id int"))
+    assert sorted((r["start"], r["len"], r["term_id"]) for r in kept.collect()) == [(0, 3, 0), (3, 1, 7)]
+    assert "_same" in kept._jdf.queryExecution().optimizedPlan().toString()

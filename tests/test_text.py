@@ -47,3 +47,17 @@ def test_tokens_of_odd_texts(spark):
 
 def test_classes_of_tokens_have_no_ranges_below_256():
     assert "a-z" not in X._LETTERS and set(X._LETTERS) == set("_0123456789abcdefghijklmnopqrstuvwxyz")
+
+
+def test_blanks_and_counts_as_by_the_plain_patterns(spark):
+    blanks = [" ", "\t", "\n", "\x0b", "\f", "\r", "\x85", "\xa0", " ", " ", " ", " ", "　"]
+    texts = ["", " ", "  ", *(f"A{b}b" for b in blanks), *(f"{b} x{b}{b}y {b}" for b in blanks), "\x1cé ​ Z", "12 kg$ 5 of 2021 20211 it's -a- '", None]
+    n = X.normalise(F.col("t"), composed=False)
+    assert one(spark, n, *texts) == one(spark, F.lower(F.regexp_replace("t", r"(?U)\s+", " ")), *texts)
+    for counted, pattern in ((X.word_count, "[a-z][a-z'-]*"), (X.quantity_count, X.quantity_pattern()), (X.year_count, X.YEAR)):
+        assert one(spark, counted(F.col("t")), *texts) == one(spark, F.regexp_count("t", F.lit(pattern)).cast("long"), *texts)
+
+
+def test_words_are_counted_without_a_list_of_them(spark):
+    plan = spark.createDataFrame([("a b",)], "t string").select(X.word_count(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan
