@@ -93,6 +93,37 @@ def tokens(normal: Column) -> Column:
     return F.array_remove(F.split(marked, f"[^{_LETTERS}{BARRIER}]++"), "")
 
 
+def runs(normal: Column, words: list[str], wildcards: list[str]) -> Column:
+    """The stretches of text whose tokens all are among words, or fit one of wildcards, and between which joiners alone stand.
+
+    Each begins with the character before its first token. Loops are possessive: Java does not recurse for them, and a
+    stretch may be as long as the text.
+    """
+    ends = f"(?![{_LETTERS}])"
+    known = "|".join([x for x in (_shared(words), *("[a-z0-9]*".join(map(re.escape, w.split("*"))) for w in wildcards)) if x])
+    known = f"(?:{known}){ends}"
+    return F.regexp_extract_all(F.concat(F.lit(" "), normal), F.lit(f"[^{_LETTERS}]{known}(?:[{_JOINED}]++{known})*+"), F.lit(0))
+
+
+def _shared(words: list[str]) -> str:
+    """A pattern of the words in which equal beginnings stand once, so that a token is read once however many words there are."""
+    tree: dict = {}
+    for w in words:
+        node = tree
+        for c in w:
+            node = node.setdefault(c, {})
+        node[""] = {}
+
+    def written(node: dict) -> str:
+        tails = [re.escape(c) + written(n) for c, n in node.items() if c]
+        if not tails:
+            return ""
+        one = len(tails) == 1 and "" not in node
+        return tails[0] if one else f"(?:{'|'.join(tails)})" + ("?" if "" in node else "")
+
+    return written(tree)
+
+
 def per_thousand(hits: Column, words: Column) -> Column:
     """Hits per 1,000 words to three places; 0 where there are no words."""
     return F.when(words > 0, F.round(F.lit(1000.0) * hits / words, 3)).otherwise(F.lit(0.0))

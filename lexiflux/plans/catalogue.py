@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lexiflux.functions import html as H
 from lexiflux.functions import text as X
-from lexiflux.operators import company, kwic, match, overlap, scan, score, sparse
+from lexiflux.operators import company, kwic, match, overlap, scan, score, sparse, tally
 from lexiflux.operators.lexicon import TIERS, Compiled, Term, terms_frame, usable, with_added
 from lexiflux.plans import oracles
 from lexiflux.plans.places import ranked
@@ -72,7 +72,8 @@ def kept_spans(spark: SparkSession, sf_dir: str, terms: list[Term] = LEXICON) ->
 
 
 def counted(spark: SparkSession, sf_dir: str, terms: list[Term] = LEXICON) -> DataFrame:
-    return score.counts(overlap.resolve(raw_spans(spark, sf_dir, terms).drop("words")))
+    found = usable(terms)  # before anything is read
+    return tally.unfolded(documents(spark, sf_dir).select("doc_id", tally.tally(spark, F.col("norm"), found).alias("terms")))
 
 
 def companies(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -190,3 +190,25 @@ def test_one_span_of_each_start_is_gathered(spark):
     kept = overlap.resolve(spark.createDataFrame(rows, "doc_id long, start int, end int, len int, term_id int"))
     assert sorted((r["start"], r["len"], r["term_id"]) for r in kept.collect()) == [(0, 3, 0), (3, 1, 7)]
     assert "_same" in kept._jdf.queryExecution().optimizedPlan().toString()
+
+
+def def test_terms_are_counted_in_one_pass_as_spans_are_resolved(spark):
+    from lexiflux.operators import score, tally
+
+    rng = random.Random(11)
+    words = ["the", "of", "and", "in", "that", "thing", "things", "thing_x", "other", "x", "th", "3", "_"]
+    gaps = [" ", " ", " ", "  ", "-", "'", "’", " & ", ", ", ".", " @ ", "\n", "-\n", "—", "é", " é ", "\t", " "]
+    texts = ["".join(w + rng.choice(gaps) for w in rng.choices(words, k=rng.randint(0, 40))) for _ in range(300)]
+    texts += ["the " * 30_000, "of the-" * 9_000 + "that", "", None, " the", "the", "@the@", "é the"]
+    terms = [
+        P("a", "puffery", "the"), P("b", "hedge", "of the|and"), P("c", "hedge", "of the"), P("d", "puffery", "(?<!of )(?<!and in )that(?! the)(?! of that)"), P("e", "hedge", "that"),
+        P("f", "hedge", "thing*", "plain"), P("g", "hedge", "the|th* *ing", "plain"), P("h", "hedge", "the of and"), P("i", "hedge", "of|th* that|thing*", "plain"), P("j", "hedge", "(?:in )?things?"),
+    ]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").select("doc_id", X.normalise(F.col("text"), composed=False).alias("norm"))
+    for some in (terms, terms[:5], terms[5:7], [P("o", "hedge", "nothing")]):
+        compiled = compile_terms(some)
+        want = score.counts(overlap.resolve(match.spans(d.select("doc_id", X.tokens(F.col("norm")).alias("toks")), compiled)))
+        got = tally.unfolded(d.select("doc_id", tally.tally(spark, F.col("norm"), compiled).alias("terms")))
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    twice = tally.unfolded(d.where("norm = 'the'").union(d.where("norm = 'the'")).select("doc_id", tally.tally(spark, F.col("norm"), compile_terms(terms)).alias("terms")))
+    assert [r["n"] for r in twice.collect()] == [2]
