@@ -10,10 +10,11 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiflux.operators.lexicon import PatternError, Term
+from lexiflux.operators.lexicon import PatternError, Term, parser
+from lexiflux.operators.tally import COUNTS, as_counts
 from lexiflux.plans.cluster import ship
 
 
@@ -28,24 +29,45 @@ def finders(terms: list[Term]) -> list[re.Pattern]:
     return out
 
 
-def _found(text: str, patterns: list[re.Pattern]) -> Iterator[tuple[int, int, int]]:
+def _joined(patterns: list[re.Pattern]) -> tuple[re.Pattern | None, list[int]]:
+    """A pattern that matches wherever one of several terms stands, so that a text is searched once for all of them, and these terms.
+
+    Terms with groups, flags or an empty match are left out: they have another meaning in a larger pattern, or begin
+    twice in one place.
+    """
+    plain = [i for i, p in enumerate(patterns) if not p.groups and p.flags == re.UNICODE and parser.parse(p.pattern).getwidth()[0] > 0]
+    return (re.compile(r"(?=" + "|".join(f"(?:{patterns[i].pattern})" for i in plain) + ")") if plain else None), plain
+
+
+def _found(text: str, patterns: list[re.Pattern], joined: tuple[re.Pattern | None, list[int]]) -> Iterator[tuple[int, int, int]]:
     """(start, end, term) of each term's own matches, which may overlap those of other terms."""
+    anywhere, plain = joined
+    if anywhere:
+        upto = dict.fromkeys(plain, 0)
+        for at in anywhere.finditer(text):
+            start = at.start()
+            for term in plain:
+                if upto[term] <= start and (m := patterns[term].match(text, start)):
+                    upto[term] = m.end()
+                    yield start, m.end(), term
     for term, p in enumerate(patterns):
-        for m in p.finditer(text):
-            if m.end() > m.start():
-                yield m.start(), m.end(), term
+        if term not in plain:
+            for m in p.finditer(text):
+                if m.end() > m.start():
+                    yield m.start(), m.end(), term
 
 
 def scanned_spans(docs: DataFrame, terms: list[Term]) -> DataFrame:
     """doc_id, start, end, len, term_id over docs (doc_id, norm); a null text has none. Which of overlapping spans counts is for overlap.resolve to say."""
     ship(docs.sparkSession)
     patterns = finders(terms)
+    joined = _joined(patterns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows, spans = [], []
             for i, t in enumerate(b.column(1)):
-                for start, end, term in _found(t.as_py() or "", patterns):
+                for start, end, term in _found(t.as_py() or "", patterns, joined):
                     rows.append(i)
                     spans.append((start, end, end - start, term))
             columns = zip(*spans, strict=True) if spans else [()] * 4
@@ -54,6 +76,28 @@ def scanned_spans(docs: DataFrame, terms: list[Term]) -> DataFrame:
     return docs.select("doc_id", "norm").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, start int, end int, len int, term_id int")
 
 
+def scanned_counts(spark: SparkSession, normal: Column, terms: list[Term]) -> Column:
+    """term_id and n of the scanned terms that resolution keeps, as tally.tally has them; overlaps are resolved where a text is scanned."""
+    ship(spark)
+    patterns = finders(terms)
+    joined = _joined(patterns)
+
+    @F.arrow_udf(COUNTS)
+    def counted(texts: pa.Array) -> pa.Array:
+        rows = []
+        for t in texts:
+            n: dict[int, int] = {}
+            upto = 0
+            for start, end, term in sorted(_found(t.as_py() or "", patterns, joined), key=lambda s: (s[0], -s[1], s[2])):
+                if start >= upto:
+                    upto = end
+                    n[term] = n.get(term, 0) + 1
+            rows.append(n)
+        return as_counts(rows)
+
+    return counted(normal)
+
+
 def agreement(indexed: DataFrame, scanned: DataFrame) -> DataFrame:
     """doc_id, n_indexed, n_scanned: hits of a document by either way, from counts (doc_id, term_id, n) of both."""
     total = lambda df, name: df.groupBy("doc_id").agg(F.sum("n").alias(name))

@@ -17,6 +17,7 @@ from lexiflux.functions import text as X
 from lexiflux.operators import company, kwic, match, overlap, scan, score, sparse, tally
 from lexiflux.operators.lexicon import TIERS, Compiled, Term, terms_frame, usable, with_added
 from lexiflux.plans import oracles
+from lexiflux.plans.cluster import durable
 from lexiflux.plans.places import ranked
 
 LEXICON = [
@@ -197,8 +198,9 @@ def quintile(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scan_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits of each document by tokens and by scanning, over the terms that are regular expressions."""
     terms = [t for t in LEXICON if t.syntax == "regex"]
-    scanned = score.counts(overlap.resolve(scan.scanned_spans(documents(spark, sf_dir), terms)))
-    return scan.agreement(counted(spark, sf_dir, terms), scanned)
+    n = F.col("norm")
+    both = durable(documents(spark, sf_dir).select("doc_id", tally.tally(spark, n, usable(terms)).alias("indexed"), scan.scanned_counts(spark, n, terms).alias("scanned")))
+    return scan.agreement(tally.unfolded(both, "indexed"), tally.unfolded(both, "scanned"))
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -212,3 +212,21 @@ def def test_terms_are_counted_in_one_pass_as_spans_are_resolved(spark):
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     twice = tally.unfolded(d.where("norm = 'the'").union(d.where("norm = 'the'")).select("doc_id", tally.tally(spark, F.col("norm"), compile_terms(terms)).alias("terms")))
     assert [r["n"] for r in twice.collect()] == [2]
+
+
+def test_scanning_for_all_terms_at_once_finds_what_each_finds(spark):
+    from lexiflux.operators import score
+
+    rng = random.Random(5)
+    texts = ["".join(rng.choice(["the", "of", "and", "a", "aa", "that"]) + rng.choice([" ", " ", ", ", "-", "é"]) for _ in range(rng.randint(0, 30))) for _ in range(200)] + ["", None]
+    terms = [P("a", "hedge", "the"), P("b", "hedge", "(?<!of )that|of the"), P("c", "hedge", "a|"), P("d", "hedge", r"(a)\1"), P("e", "hedge", "(?i:THE) (?:of|and the)"), P("f", "hedge", "the.{0,9}the"), P("g", "hedge", "a+(?= )")]
+    patterns = scan.finders(terms)
+    joined = scan._joined(patterns)
+    assert joined[1] == [0, 1, 4, 5, 6]
+    for t in texts:
+        each = [(m.start(), m.end(), i) for i, p in enumerate(patterns) for m in p.finditer(t or "") if m.end() > m.start()]
+        assert sorted(scan._found(t or "", patterns, joined)) == sorted(each)
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, norm string")
+    want = score.counts(overlap.resolve(scan.scanned_spans(d, terms)))
+    got = d.select("doc_id", F.explode(scan.scanned_counts(spark, F.col("norm"), terms)).alias("c")).select("doc_id", "c.*")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
