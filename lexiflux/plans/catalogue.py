@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiflux.functions import html as H
@@ -47,8 +47,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).select("doc_id", "symbol", "doc_kind", "file", *_measures())
+
+
+def _measures() -> list[Column]:
     n = F.col("norm")
-    return documents(spark, sf_dir).select("doc_id", "symbol", "doc_kind", "file", X.word_count(n).alias("n_words"), X.quantity_count(n).alias("quantity_hits"), X.year_count(n).alias("year_hits"))
+    return [X.word_count(n).alias("n_words"), X.quantity_count(n).alias("quantity_hits"), X.year_count(n).alias("year_hits")]
 
 
 def tokenised(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,6 +81,13 @@ def counted(spark: SparkSession, sf_dir: str, terms: list[Term] = LEXICON) -> Da
     return tally.unfolded(documents(spark, sf_dir).select("doc_id", tally.tally(spark, F.col("norm"), found).alias("terms")))
 
 
+def stats_and_counts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """stats and counted of the same pass over the texts: what it finds is kept, a short row for each document."""
+    terms = tally.tally(spark, F.col("norm"), usable(LEXICON)).alias("terms")
+    both = durable(documents(spark, sf_dir).select("doc_id", "symbol", "doc_kind", "file", *_measures(), terms))
+    return both.drop("terms"), tally.unfolded(both)
+
+
 def companies(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("source").alias("symbol")).distinct()
     n = F.substring("symbol", 4, 9)
@@ -84,16 +95,17 @@ def companies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score.doc_rows(stats(spark, sf_dir), counted(spark, sf_dir), terms_frame(spark, LEXICON))
+    return score.doc_rows(*stats_and_counts(spark, sf_dir), terms_frame(spark, LEXICON))
 
 
 def _rollup(spark: SparkSession, sf_dir: str, sources: str = "auto") -> DataFrame:
-    return company.rollup(stats(spark, sf_dir), counted(spark, sf_dir), terms_frame(spark, LEXICON), sources)
+    return company.rollup(*stats_and_counts(spark, sf_dir), terms_frame(spark, LEXICON), sources)
 
 
 def term_density_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = counted(spark, sf_dir).groupBy("doc_id").agg(F.sum("n").alias("n"))
-    rows = stats(spark, sf_dir).join(hits, "doc_id", "left").groupBy("symbol").agg(F.sum("n_words").alias("words"), F.coalesce(F.sum("n"), F.lit(0)).alias("hits"))
+    docs, hits = stats_and_counts(spark, sf_dir)
+    hits = hits.groupBy("doc_id").agg(F.sum("n").alias("n"))
+    rows = docs.join(hits, "doc_id", "left").groupBy("symbol").agg(F.sum("n_words").alias("words"), F.coalesce(F.sum("n"), F.lit(0)).alias("hits"))
     return rows.select("symbol", "words", "hits", X.per_thousand(F.col("hits"), F.col("words")).alias("density")).orderBy(F.col("density").desc(), "symbol")
 
 
@@ -136,11 +148,11 @@ def company_top_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def doc_full_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score.full_rows(stats(spark, sf_dir), counted(spark, sf_dir), terms_frame(spark, LEXICON), companies(spark, sf_dir))
+    return score.full_rows(*stats_and_counts(spark, sf_dir), terms_frame(spark, LEXICON), companies(spark, sf_dir))
 
 
 def company_all_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return company.all_terms(stats(spark, sf_dir), counted(spark, sf_dir), terms_frame(spark, LEXICON))
+    return company.all_terms(*stats_and_counts(spark, sf_dir), terms_frame(spark, LEXICON))
 
 
 def _sources(policy: str) -> Callable[[SparkSession, str], DataFrame]:

@@ -192,7 +192,7 @@ def test_one_span_of_each_start_is_gathered(spark):
     assert "_same" in kept._jdf.queryExecution().optimizedPlan().toString()
 
 
-def def test_terms_are_counted_in_one_pass_as_spans_are_resolved(spark):
+def test_terms_are_counted_in_one_pass_as_spans_are_resolved(spark):
     from lexiflux.operators import score, tally
 
     rng = random.Random(11)
@@ -214,6 +214,17 @@ def def test_terms_are_counted_in_one_pass_as_spans_are_resolved(spark):
     assert [r["n"] for r in twice.collect()] == [2]
 
 
+def test_terms_are_counted_without_a_row_for_each_token_and_texts_read_once(spark):
+    from lexiflux.plans import catalogue
+
+    data = "/root/testdata/sf0.001"
+    plan = catalogue.counted(spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert "posexplode" not in plan and "Window" not in plan and plan.count("Scan parquet") == 1
+    for name in ("doc_scores", "company_top_terms", "sources_all", "term_density_by_source", "doc_full_rows", "company_all_terms", "scan_agreement"):
+        plan = catalogue.QUERIES[name](spark, data)._jdf.queryExecution().executedPlan().toString()
+        assert "text#" not in plan, name  # what the pass over the texts found is kept
+
+
 def test_scanning_for_all_terms_at_once_finds_what_each_finds(spark):
     from lexiflux.operators import score
 
