@@ -17,7 +17,7 @@ from lexiflux.functions import text as X
 from lexiflux.operators import company, kwic, match, overlap, scan, score, sparse, tally
 from lexiflux.operators.lexicon import TIERS, Compiled, Term, terms_frame, usable, with_added
 from lexiflux.plans import oracles
-from lexiflux.plans.cluster import durable
+from lexiflux.plans.cluster import durable, spread
 from lexiflux.plans.places import ranked
 
 LEXICON = [
@@ -38,8 +38,16 @@ RESOLVED_QUERIES = ["src1", "SRC10", "company 7", "src3.example", "comp", "rc1",
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, symbol, doc_kind, file, norm."""
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """doc_id, symbol, doc_kind, file, norm. The texts are dealt out before anything is done to them."""
+    return _normal(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+
+
+def names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents without their texts, which are not read."""
+    return _normal(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("norm")
+
+
+def _normal(d: DataFrame) -> DataFrame:
     text = F.concat(F.col("text"), F.lit(" "), F.col("n_chars").cast("string"), F.lit(" tonnes in "), (F.lit(1990) + F.col("doc_id") % 60).cast("string"))
     kind = F.when(F.col("source").isin("src0", "src1", "src2", "src3"), "page").when(F.col("source") == "src4", "data").when(F.col("lang") == "en", "main").when(F.col("lang") == "de", "data").otherwise("page")
     d = d.select("doc_id", F.col("source").alias("symbol"), kind.alias("doc_kind"), X.normalise(text, composed=False).alias("norm"))
@@ -249,13 +257,13 @@ def unclaimed_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def todo_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files not in a cache that holds those of English documents."""
-    d = documents(spark, sf_dir).select("file")
-    cache = documents(spark, sf_dir).where("doc_kind = 'main'").select("file")
+    d = names(spark, sf_dir).select("file")
+    cache = names(spark, sf_dir).where("doc_kind = 'main'").select("file")
     return d.join(cache, "file", "left_anti")
 
 
 def docs_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents(spark, sf_dir).groupBy("doc_kind").agg(F.count(F.lit(1)).alias("n"))
+    return names(spark, sf_dir).groupBy("doc_kind").agg(F.count(F.lit(1)).alias("n"))
 
 
 def lexicon_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:

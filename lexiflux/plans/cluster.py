@@ -11,6 +11,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _SHIPPED = "spark.lexiflux.shipped"
 
@@ -46,3 +47,18 @@ def durable(df: DataFrame) -> DataFrame:
     """Cuts lineage with a reliable checkpoint."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt out evenly where one of its partitions holds over twice its share of the rows; the rows must lie in files.
+
+    A file's row group is read by one task, however large it is, and what follows on its rows would stay in that task. Rows
+    go by their place in the files, whatever their ids. To count them no column is read. As executors may come late, four
+    cores are presumed at least.
+    """
+    spark = df.sparkSession
+    rows = [r["count"] for r in df.select(F.spark_partition_id().alias("_part")).groupBy("_part").count().collect()]
+    cores = max(4, spark.sparkContext.defaultParallelism)
+    if max(rows, default=0) * cores <= 2 * sum(rows):
+        return df
+    return df.withColumn("_place", F.monotonically_increasing_id()).repartition(8 * cores, "_place").drop("_place")

@@ -241,3 +241,21 @@ def test_scanning_for_all_terms_at_once_finds_what_each_finds(spark):
     want = score.counts(overlap.resolve(scan.scanned_spans(d, terms)))
     got = d.select("doc_id", F.explode(scan.scanned_counts(spark, F.col("norm"), terms)).alias("c")).select("doc_id", "c.*")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_texts_of_one_row_group_are_dealt_out(spark, tmp_path):
+    from lexiflux.plans import catalogue
+
+    rows = [(None if i % 2 else i, f"of the {i}", "en", "src7", 8) for i in range(2000)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    d.coalesce(1).write.parquet(f"{tmp_path}/one/documents.parquet")
+    d.repartition(8).write.parquet(f"{tmp_path}/many/documents.parquet")
+    texts = catalogue.documents(spark, f"{tmp_path}/one")
+    held = [r["count"] for r in texts.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(held) == 2000 and max(held) <= 2000 / 4
+    even = catalogue.documents(spark, f"{tmp_path}/many")
+    assert "Exchange" not in even._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(str, texts.collect())) == sorted(map(str, even.collect()))
+    docs, hits = catalogue.stats_and_counts(spark, f"{tmp_path}/one")
+    assert docs.count() == 2000 and hits.agg(F.sum("n")).first()[0] == 1000  # a document without an id has no text
+    assert "Exchange" not in catalogue.names(spark, f"{tmp_path}/one")._jdf.queryExecution().executedPlan().toString()
