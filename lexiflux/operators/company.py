@@ -34,12 +34,11 @@ def rollup(docs: DataFrame, counted: DataFrame, terms: DataFrame, sources: str =
 
     docs: doc_id, symbol, doc_kind, file, n_words, quantity_hits, year_hits. files and doc_kinds are joined by '; '.
     """
-    used = chosen(docs, sources)
-    base = used.groupBy("symbol").agg(
-        F.count(F.lit(1)).alias("n_docs"), F.sum("n_words").alias("total_words"), F.sum(F.col("quantity_hits") + F.col("year_hits")).alias("substance_hits"),
-        F.array_join(F.array_sort(F.collect_set("doc_kind")), "; ").alias("doc_kinds"),
+    kinds = chosen(docs.groupBy("symbol", "doc_kind").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_words").alias("total_words"), F.sum(F.col("quantity_hits") + F.col("year_hits")).alias("substance_hits")), sources)
+    base = kinds.groupBy("symbol").agg(
+        *(F.sum(c).alias(c) for c in ("n_docs", "total_words", "substance_hits")), F.array_join(F.array_sort(F.collect_set("doc_kind")), "; ").alias("doc_kinds"),
     )
-    by_term = counted.join(used.select("doc_id", "symbol"), "doc_id").groupBy("symbol", "term_id").agg(F.sum("n").alias("n"))
+    by_term = _by_term(docs, counted, kinds)
     rows = base.join(totals(by_term, terms, "symbol"), "symbol", "left").join(top_terms(by_term, terms, "symbol", TOP_COMPANY), "symbol", "left")
     n, none = F.col("total_words"), F.lit(0)
     hits, weighted = F.coalesce("hits", none), F.coalesce("weighted", F.lit(0.0))
@@ -51,12 +50,23 @@ def rollup(docs: DataFrame, counted: DataFrame, terms: DataFrame, sources: str =
     )
 
 
+def _by_term(docs: DataFrame, counted: DataFrame, kinds: DataFrame) -> DataFrame:
+    """symbol, term_id, n over the documents of the chosen kinds (symbol, doc_kind, one row each) of a company.
+
+    Hits are summed for each kind before kinds are chosen: so documents are dealt by id only, not by a company that may have
+    most of them. Those without a symbol have no sum.
+    """
+    n = counted.join(docs.select("doc_id", "symbol", "doc_kind"), "doc_id").groupBy("symbol", "doc_kind", "term_id").agg(F.sum("n").alias("n"))
+    kinds = kinds.select(F.col("symbol").alias("_symbol"), F.col("doc_kind").alias("_kind"))
+    used = n.join(kinds, (F.col("symbol") == F.col("_symbol")) & F.col("doc_kind").eqNullSafe(F.col("_kind")), "left_semi")
+    return used.groupBy("symbol", "term_id").agg(F.sum("n").alias("n"))
+
+
 def all_terms(docs: DataFrame, counted: DataFrame, terms: DataFrame, sources: str = "auto") -> DataFrame:
     """symbol, all_terms: every term that a company's chosen documents use, with its hits, most first."""
-    used = chosen(docs, sources)
-    by_term = counted.join(used.select("doc_id", "symbol"), "doc_id").groupBy("symbol", "term_id").agg(F.sum("n").alias("n"))
-    found = top_terms(by_term, terms, "symbol", None)
-    return used.select("symbol").distinct().join(found, "symbol", "left").select("symbol", F.coalesce("top_terms", F.lit("")).alias("all_terms"))
+    kinds = chosen(docs.select("symbol", "doc_kind").distinct(), sources)
+    found = top_terms(_by_term(docs, counted, kinds), terms, "symbol", None)
+    return kinds.select("symbol").distinct().join(found, "symbol", "left").select("symbol", F.coalesce("top_terms", F.lit("")).alias("all_terms"))
 
 
 def files(docs: DataFrame, sources: str = "auto") -> DataFrame:

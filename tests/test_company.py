@@ -43,3 +43,31 @@ def test_pages(spark):
     assert [r[0] for r in b.select(H.sniffed(F.col("c"))).collect()] == ["pdf", "html"]
     parsed = H.page_text(spark.createDataFrame([(1, "<p>a</p>"), (2, None)], "page_id long, html string"))
     assert [r["text"] for r in parsed.orderBy("page_id").collect()] == ["a", None]
+
+
+def test_documents_are_not_dealt_by_company(spark):
+    from lexiflux.operators.lexicon import Term, terms_frame
+
+    docs = spark.createDataFrame(
+        [(1, "a", "main", 10, 1, 0), (2, "a", "page", 20, 1, 0), (3, "b", "page", 30, 0, 0), (4, None, "main", 40, 0, 0), (5, None, "page", 50, 0, 0), (6, "c", None, 60, 0, 0), (7, "d", "data", 70, 0, 0), (8, "d", "page", 80, 0, 0), (9, "d", None, 90, 0, 0)],
+        "doc_id long, symbol string, doc_kind string, n_words long, quantity_hits long, year_hits long",
+    )
+    counted = spark.createDataFrame([(i, 0, i) for i in (1, 2, 3, 4, 5, 6, 8, 9)], "doc_id long, term_id int, n long")
+    terms = terms_frame(spark, [Term("t", "puffery", "t")])
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows, named = company.rollup(docs, counted, terms), company.all_terms(docs, counted, terms)
+        for df in (rows, named):
+            plan = df._jdf.queryExecution().executedPlan().toString().splitlines()
+            depth = [len(x) - len(x.lstrip(" :+-")) for x in plan]
+            for i, x in enumerate(plan):
+                if "Exchange hashpartitioning(symbol" in x:
+                    below = next((j for j in range(i + 1, len(plan)) if depth[j] <= depth[i]), len(plan))
+                    assert any("Aggregate" in y for y in plan[i + 1 : below]), x
+        got = {r["symbol"]: (r["n_docs"], r["doc_kinds"], r["total_words"], r["buzzword_hits"], r["top_terms"]) for r in rows.collect()}
+        # a company's pages do not count beside a report, even one without hits; nor does what has no kind
+        assert got == {"a": (1, "main", 10, 1, "t:1"), "b": (1, "page", 30, 3, "t:3"), None: (2, "main; page", 90, 0, ""), "c": (1, "", 60, 6, "t:6"), "d": (1, "data", 70, 0, "")}
+        assert dict(map(tuple, named.collect())) == {"a": "t:1", "b": "t:3", None: "", "c": "t:6", "d": ""}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
